@@ -56,10 +56,12 @@ def propagate(members: DataFrame, labels: DataFrame, n_shards: int, quota: int,
     for _ in range(rounds):
         load = {r[0]: r[1] for r in labels.groupBy("shard").count().collect()}
         free = [max(0, quota - load.get(s, 0)) for s in range(n_shards)]
-        near = members.join(labels, "uid").groupBy("link", "shard").agg(F.count("*").alias("n"))
+        # Written, so that the joins below deal plain rows and Spark can split a large link's.
+        near = cut(members.join(labels, "uid").groupBy("link", "shard").agg(F.count("*").alias("n")), "shard-near")
         # At most one row for each shard in a link's window: the fullest with room, and all for the present place.
         best = F.row_number().over(Window.partitionBy("link").orderBy(F.desc("n"), F.pmod(F.col("shard") + F.hash("link"), F.lit(n_shards))))
         room = near.filter(by_shard(free, F.col("shard")) > 0).withColumn("r", best).filter("r <= 3").select("link", F.col("shard").alias("to"), "n")
+        room = cut(room, "shard-room")
         want = members.join(room, "link").groupBy("uid", "to").agg(F.sum("n").alias("n"))
         want = want.groupBy("uid").agg(F.max(F.struct("n", F.negative("to").alias("k"))).alias("w")).select("uid", (-F.col("w.k")).alias("to"), F.col("w.n").alias("gain"))
         here = members.join(labels, "uid").join(near, ["link", "shard"]).groupBy("uid", "shard").agg(F.sum("n").alias("n"), F.min("link").alias("link"))
