@@ -22,7 +22,6 @@ one block.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -37,19 +36,39 @@ IDS = "part int, seq long, doc_id long, first long, ids binary"
 FILE = "part int, first long, doc_ids array<long>, counts array<int>, checkpoints array<long>, payload binary"
 OUT = "part int, doc_id long, first long, n_tokens long, ids_crc32 long"
 #: Text parts a worker remembers before it starts anew.
-PARTS = 500_000
-#: White space other than single spaces and line breaks between words: such texts are encoded whole.
-ODD_SPACE = re.compile(r"[ \n]{2}|^[ \n]|[ \n]\Z|[^\S \n]|[\x1c-\x1f\x85]")
-CHUNK = re.compile(r"[ \n]?[^ \n]+")
+PARTS = 800_000
+#: Documents encoded at a time.
+SLICE = 256
+_ENCODERS: dict[str, "Encoder"] = {}
+
+
+def encoder_of(path: str) -> "Encoder":
+    """The worker's encoder; it outlives the task, and so does what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def plain(text: str) -> bool:
+    """Single spaces and line breaks between words, and no other white space; texts that aren't plain are encoded whole."""
+    spaced = text.replace("\n", " ")
+    return spaced.isprintable() and "  " not in spaced and spaced[:1] not in ("", " ") and spaced[-1] != " "
+
+
+def parts_of(text: str) -> list[str]:
+    """Words of a plain text: behind a line break they begin with it, the first with a null; the others mean a space before them."""
+    return ("\0" + text).replace("\n", " \n").split(" ")
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library.
 
-    The byte-level pre-tokenizer never joins a letter, digit or sign with white
-    space after it, so texts are cut before single spaces and line breaks, and
-    the parts' ids remembered. That holds for its pattern alone, so ``exact``
-    tells whether the file has it.
+    The byte-level pre-tokenizer never joins what is no white space with white
+    space after it, and takes a single line break alone, so texts are cut
+    before single spaces and around line breaks, and the parts' ids
+    remembered. Parts not yet known go to the library together, with a line
+    break after each. That holds for its pattern alone, so ``exact`` tells
+    whether the file has it.
     """
 
     def __init__(self, path: str):
@@ -65,21 +84,46 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.exact = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.end, self.line = line[0] if line else -1, np.array(line, dtype="<u4").tobytes()
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
+        known = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.exact = bool(known) and len(line) == 1 and not any(any(c.isspace() for c in a) for a in self.added)
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, parts: list[str]) -> None:
+        text = {p: p[1:] if p[0] in "\0\n" else " " + p for p in parts}
+        odd = [p for p in parts if any(a in p for a in self.added)]
+        for p, ids in zip(odd, self.whole([text.pop(p) for p in odd])):
+            self.known[p] = self.line + ids if p[0] == "\n" else ids
+        parts = list(text)
+        for k in range(0, len(parts), 5_000):
+            some = parts[k : k + 5_000]
+            (joined,) = self.tok.encode_batch_fast(["\n".join(map(text.__getitem__, some)) + "\n"], add_special_tokens=False)
+            ids = np.array(joined.ids, dtype="<u4")
+            at = np.flatnonzero(ids == self.end)
+            raw, start = ids.tobytes(), 0
+            if len(at) != len(some):
+                raise RuntimeError("the parts' ends are not where they should be")
+            for p, e in zip(some, at.tolist()):
+                self.known[p] = self.line + raw[4 * start : 4 * e] if p[0] == "\n" else raw[4 * start : 4 * e]
+                start = e + 1
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [CHUNK.findall(t) if self.exact and not ODD_SPACE.search(t) else None for t in texts]
-        if len(self.known) > PARTS:
-            self.known = {}
-        fresh = list(set().union(*(p for p in parts if p)).difference(self.known))
-        for k in range(0, len(fresh), 20_000):
-            self.known.update(zip(fresh[k : k + 20_000], self.whole(fresh[k : k + 20_000])))
-        rest = iter(self.whole([t for t, p in zip(texts, parts) if p is None]))
-        return [next(rest) if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
+        out = []
+        for k in range(0, len(texts), SLICE):
+            some = texts[k : k + SLICE]
+            parts = [parts_of(t) if self.exact and plain(t) else None for t in some]
+            used = set().union(*(p for p in parts if p))
+            if len(self.known) > PARTS:
+                self.known = {p: self.known[p] for p in used.intersection(self.known)}
+            self.learn(list(used.difference(self.known)))
+            rest = iter(self.whole([t for t, p in zip(some, parts) if p is None]))
+            out += [next(rest) if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
+        return out
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -121,16 +165,20 @@ def canonical(bits: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, words: np.ndarray, bits: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The ids' code words, and the bit offset of every STRIDE-th."""
+    if not len(ids):
+        return b"", np.empty(0, dtype=np.int64)
     size = bits[ids].astype(np.int64)
     end = np.cumsum(size)
     start = end - size
-    total = int(end[-1]) if len(ids) else 0
-    wide = words[ids] << (32 - size - (start & 7))
-    at, n = start >> 3, (total + 7) // 8 + 4
-    out = np.zeros(n, dtype=np.uint8)
-    for k in range(4):  # code words share no bit, so sums are unions
-        out += np.bincount(at + k, weights=(wide >> (24 - 8 * k)) & 255, minlength=n).astype(np.uint8)
-    return out[: (total + 7) // 8].tobytes(), start[::STRIDE]
+    # A word of 32 bits gets all code words that begin in it, and the rest of the last one before it.
+    wide = words[ids].astype(np.uint64) << (64 - size - (start & 31)).astype(np.uint64)
+    at = start >> 5
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out = np.zeros(int(at[-1]) + 2, dtype=np.uint64)
+    out[at[first]] = np.bitwise_or.reduceat(wide >> np.uint64(32), first)
+    last = np.append(first[1:], len(ids)) - 1
+    out[at[last] + 1] |= wide[last] & np.uint64(0xFFFFFFFF)
+    return out.astype(">u4").tobytes()[: (int(end[-1]) + 7) // 8], start[::STRIDE]
 
 
 def decode_table(symbols: np.ndarray, words: np.ndarray, bits: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +210,7 @@ def ids_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq, first, encode, end = TaskContext.get().partitionId(), 0, 0, Encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        part, seq, first, encode, end = TaskContext.get().partitionId(), 0, 0, encoder_of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             ids = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()])]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
@@ -184,11 +232,10 @@ def global_counts(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                c = np.bincount(np.frombuffer(x, dtype="<u4"))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype="<u4"))
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["symbol", "n"])
 
