@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import cut, docs_view, drop, list_column, new_path, read, release_shuffles
 
 MAX_BITS, STRIDE, BLOCK_IDS = 20, 512, 1 << 20
-IDS = "part int, seq long, doc_id long, first long, ids binary"
+IDS = "part int, doc_id long, first long, width int, ids binary, counts binary"
 FILE = "part int, first long, doc_ids array<long>, counts array<int>, checkpoints array<long>, payload binary"
 OUT = "part int, doc_id long, first long, n_tokens long, ids_crc32 long"
-#: Text parts a worker remembers before it starts anew.
-PARTS = 800_000
+#: Text parts in one of the two generations that a worker remembers.
+PARTS = 500_000
 #: Documents encoded at a time.
 SLICE = 256
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -61,7 +61,7 @@ def parts_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library.
+    """Ids of texts as little-endian unsigned integers of 16 bits, or 32 if the ids need it, by the tokenizers library.
 
     The byte-level pre-tokenizer never joins what is no white space with white
     space after it, and takes a single line break alone, so texts are cut
@@ -85,14 +85,17 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         line = self.tok.encode("\n", add_special_tokens=False).ids
-        self.end, self.line = line[0] if line else -1, np.array(line, dtype="<u4").tobytes()
+        self.type = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.type).itemsize
+        self.end, self.line = line[0] if line else -1, np.array(line, dtype=self.type).tobytes()
         self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         known = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.exact = bool(known) and len(line) == 1 and not any(any(c.isspace() for c in a) for a in self.added)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, parts: list[str]) -> None:
         text = {p: p[1:] if p[0] in "\0\n" else " " + p for p in parts}
@@ -103,13 +106,13 @@ class Encoder:
         for k in range(0, len(parts), 5_000):
             some = parts[k : k + 5_000]
             (joined,) = self.tok.encode_batch_fast(["\n".join(map(text.__getitem__, some)) + "\n"], add_special_tokens=False)
-            ids = np.array(joined.ids, dtype="<u4")
+            ids, width = np.array(joined.ids, dtype=self.type), self.width
             at = np.flatnonzero(ids == self.end)
             raw, start = ids.tobytes(), 0
             if len(at) != len(some):
                 raise RuntimeError("the parts' ends are not where they should be")
             for p, e in zip(some, at.tolist()):
-                self.known[p] = self.line + raw[4 * start : 4 * e] if p[0] == "\n" else raw[4 * start : 4 * e]
+                self.known[p] = self.line + raw[width * start : width * e] if p[0] == "\n" else raw[width * start : width * e]
                 start = e + 1
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -119,8 +122,11 @@ class Encoder:
             parts = [parts_of(t) if self.exact and plain(t) else None for t in some]
             used = set().union(*(p for p in parts if p))
             if len(self.known) > PARTS:
-                self.known = {p: self.known[p] for p in used.intersection(self.known)}
-            self.learn(list(used.difference(self.known)))
+                self.known, self.older = {}, self.known
+            fresh = used.difference(self.known)
+            back = fresh.intersection(self.older)
+            self.known.update(zip(back, map(self.older.__getitem__, back)))
+            self.learn(list(fresh.difference(back)))
             rest = iter(self.whole([t for t, p in zip(some, parts) if p is None]))
             out += [next(rest) if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
         return out
@@ -205,18 +211,29 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, sym: np.ndarray, siz
 
 
 def ids_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Ids of every document in ascending doc_id order, as a written table; ``part`` is the range, ``seq`` the place in it."""
+    """Ids of every document in ascending doc_id order, as a written table; ``part`` is the range, ``first`` counts the ids before a document in it. One more row of each part holds its counts by id."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq, first, encode, end = TaskContext.get().partitionId(), 0, 0, encoder_of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        part, first, encode = TaskContext.get().partitionId(), 0, encoder_of(tokenizer)
+        end, width, total = np.array([end_id], dtype=encode.type).tobytes(), encode.width, np.zeros(0, dtype=np.int64)
+
+        def rows(doc_ids, first, ids, counts):
+            k = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, part, dtype=np.int32)), doc_ids, first, pa.array(np.full(k, width, dtype=np.int32)), pa.array(ids, type=pa.binary()), pa.array(counts, type=pa.binary())], names=[c.split()[0] for c in IDS.split(", ")])
+
         for b in batches:
-            ids = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()])]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            at = first + np.cumsum(n) - n
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(np.arange(seq, seq + len(ids))), b.column("doc_id"), pa.array(at), pa.array(ids, type=pa.binary())], names=[c.split()[0] for c in IDS.split(", ")])
-            seq, first = seq + len(ids), first + int(n.sum())
+            for k in range(0, b.num_rows, 4 * SLICE):
+                some = b.slice(k, 4 * SLICE)
+                ids = [x + end for x in encode([t or "" for t in some.column("text").to_pylist()])]
+                n = np.array([len(x) // width for x in ids], dtype=np.int64)
+                c = np.bincount(np.frombuffer(b"".join(ids), dtype=encode.type))
+                total = np.pad(total, (0, max(0, len(c) - len(total))))
+                total[: len(c)] += c
+                yield rows(some.column("doc_id"), pa.array(first + np.cumsum(n) - n), ids, [None] * len(ids))
+                first += int(n.sum())
+        yield rows(pa.array([None], pa.int64()), pa.array([first]), [None], [total.astype("<i8").tobytes()])  # the partition's counts, in a row of their own
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
@@ -230,16 +247,13 @@ def global_counts(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Symbols that occur and their counts; at most as many rows as the vocabulary reach the driver."""
 
     def run(batches):
-        total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            c = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype="<u4"))
-            if len(c) > len(total):
-                total = np.pad(total, (0, len(c) - len(total)))
-            total[: len(c)] += c
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["symbol", "n"])
-
-    rows = ids.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas().sort_values("symbol")
+            for x in b.column("counts").to_pylist():
+                total = np.frombuffer(x, dtype="<i8")
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["symbol", "n"])
+
+    rows = ids.select("counts").filter("counts is not null").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas().sort_values("symbol")
     return rows["symbol"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
 
 
@@ -253,31 +267,31 @@ def write_ids(ids: DataFrame, path: str) -> None:
     wide_words[symbols], wide_bits[symbols] = canonical(bits), bits
     code = spark.sparkContext.broadcast((wide_words, wide_bits))
 
-    def block(part, first, doc_ids, ids):
+    def block(part, first, width, doc_ids, ids):
         words, bits = code.value
-        payload, checkpoints = pack(np.frombuffer(b"".join(ids), dtype="<u4"), words, bits)
+        payload, checkpoints = pack(np.frombuffer(b"".join(ids), dtype=f"<u{width}"), words, bits)
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int32())), list_column([checkpoints], pa.int64()), pa.array([payload], pa.binary())],
+            [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) // width for x in ids]], pa.list_(pa.int32())), list_column([checkpoints], pa.int64()), pa.array([payload], pa.binary())],
             names=[c.split()[0] for c in FILE.split(", ")],
         )
 
     def run(batches):
         part, start, doc_ids, held, size, expect = None, 0, [], [], 0, None
         for b in batches:
-            for p, f, d, x in zip(*(b.column(c).to_pylist() for c in ("part", "first", "doc_id", "ids"))):
+            for p, f, d, width, x in zip(*(b.column(c).to_pylist() for c in ("part", "first", "doc_id", "width", "ids"))):
                 if held and (size >= BLOCK_IDS or (p, f) != expect):
-                    yield block(part, start, doc_ids, held)
+                    yield block(part, start, width, doc_ids, held)
                     doc_ids, held, size = [], [], 0
                 if not held:
                     part, start = p, f
                 doc_ids.append(d)
                 held.append(x)
-                size += len(x) // 4
-                expect = (p, f + len(x) // 4)
+                size += len(x) // width
+                expect = (p, f + len(x) // width)
         if held:
-            yield block(part, start, doc_ids, held)
+            yield block(part, start, width, doc_ids, held)
 
-    ids.select("part", "first", "doc_id", "ids").mapInArrow(run, FILE).write.option("compression", "none").parquet(f"{path}/blocks")
+    ids.filter("ids is not null").select("part", "first", "doc_id", "width", "ids").mapInArrow(run, FILE).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(int(s), int(b)) for s, b in zip(symbols, bits)], "symbol long, bits int").coalesce(1).write.parquet(f"{path}/code")
 
 
