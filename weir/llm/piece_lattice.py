@@ -96,15 +96,19 @@ def lattice(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
 
 def fold(grouped: DataFrame, keys: list[str]) -> DataFrame:
     """Apply the merges to each chunk's edges, best first."""
-    step = """aggregate(sequence(1, greatest(length(chunk) - 1, 1)), shiftleft(1L, length(chunk) + 1) - 1,
-        (mask, i) -> coalesce(mask & ~get(filter(joins, x -> (mask & x.ends) = x.ends and bit_count(mask & x.inner) = 1), 0).inner, mask))"""
     joins = """transform(filter(edges, x -> x.e - x.s > 1),
         x -> struct(shiftleft(1L, x.s) | shiftleft(1L, x.e) as ends, shiftleft(1L, x.e) - shiftleft(1L, x.s + 1) as inner))"""
+    mask = """aggregate(sequence(1, greatest(length(chunk) - 1, 1)), shiftleft(1L, length(chunk) + 1) - 1,
+        (mask, i) -> coalesce(mask & ~get(filter(joins, x -> (mask & x.ends) = x.ends and bit_count(mask & x.inner) = 1), 0).inner, mask))"""
     starts = "filter(sequence(0, length(chunk)), i -> (shiftright(mask, i) & 1L) = 1L)"
     ids = """transform(sequence(0, size(starts) - 2), k -> coalesce(
         get(filter(edges, x -> x.s = starts[k] and x.e = starts[k + 1]), 0).id, -ascii(substring(chunk, starts[k] + 1, 1))))"""
-    out = grouped.withColumn("joins", F.expr(joins)).withColumn("mask", F.expr(step)).withColumn("starts", F.expr(starts))
-    return out.select(*keys, "chunk", F.expr(ids).alias("ids"))
+
+    def bind(name: str, value: str, body: str) -> str:
+        """The body with a name for a value that is computed once; a column would be computed wherever it is used."""
+        return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+    return grouped.select(*keys, "chunk", F.expr(bind("joins", joins, bind("mask", mask, bind("starts", starts, ids)))).alias("ids"))
 
 
 def count_chunks(docs: DataFrame) -> DataFrame:
@@ -142,10 +146,11 @@ def head_table(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> dict[str, b
         least = at
     if least is None:
         return {}
-    found = lattice(counts.filter(level >= least).select("chunk"), [], pieces).toArrow()
-    out = to_bytes(found.column("chunk").to_pylist(), found.column("ids").combine_chunks(), pieces)
+    # Dealt by chunk before the lattice multiplies the rows.
+    found = lattice(counts.filter(level >= least).select("chunk").repartition("chunk"), [], pieces).toArrow()
     drop(counts)
-    return out
+    release_shuffles(docs.sparkSession)
+    return to_bytes(found.column("chunk").to_pylist(), found.column("ids").combine_chunks(), pieces)
 
 
 def to_bytes(names: list[str], ids: pa.ListArray, pieces: Pieces) -> dict[str, bytes]:
