@@ -25,25 +25,51 @@ are not read. Texts are taken whole.
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, docs_view, drop, list_column, read, release_shuffles
 
 MARK = "▁"
-CHUNK = re.compile(f"[\n\t]|{MARK}*[^{MARK}\n\t]+|{MARK}+")
+LETTER = re.compile(r"[^\W\d_]")
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters of a chunk the mask holds; chunks in the broadcast table; chunks a task counts before it passes them on.
 LONG, HEAD, COUNTED = 48, 500_000, 500_000
+#: Bits of the map that holds the hashes of pieces.
+BITS = 1 << 18
 
 
-def chunks(text: str | None) -> list[str]:
-    return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+def merged(word: str, rank: dict[str, int], once: bool) -> list[int]:
+    """The boundaries BPE leaves in a word: by one pass over its pieces in order of rank, or always by the best join."""
+    n = len(word)
+    edges = sorted((rank[word[s:e]], s, e) for s in range(n) for e in range(s + 2, n + 1) if word[s:e] in rank)
+    cuts = set(range(n + 1))
+
+    def joins(s, e):
+        return s in cuts and e in cuts and sum(k in cuts for k in range(s + 1, e)) == 1
+
+    if once:
+        for _, s, e in edges:
+            if joins(s, e):
+                cuts.difference_update(range(s + 1, e))
+        return sorted(cuts)
+    while best := next(((s, e) for _, s, e in edges if joins(s, e)), None):
+        cuts.difference_update(range(best[0] + 1, best[1]))
+    return sorted(cuts)
+
+
+@functools.lru_cache(maxsize=4)
+def load(path: str) -> "Pieces":
+    return Pieces(path)
 
 
 class Pieces:
@@ -63,7 +89,16 @@ class Pieces:
         for value, i in self.bytes.items():
             self.table[i] = bytes([value])
         self.longest = max(len(p) for p, _, _ in self.normal)
+        self.type = "<u2" if len(self.table) <= 1 << 16 else "<i4"
         self.check(sp)
+        # Signs that stand behind a letter in no piece: chunks end before them.
+        pairs = {p[k : k + 2] for p, _, _ in self.normal for k in range(len(p) - 1)}
+        behind = {x[1] for x in pairs if LETTER.match(x[0])}
+        free = re.escape("".join(c for c in SIGNS if c not in behind))
+        rest = f"[^{MARK}\n\t{free}]*"
+        self.chunk = re.compile(f"[\n\t]|{MARK}*[^{MARK}\n\t]{rest}" + (f"(?:(?<!{LETTER.pattern})[{free}]{rest})*" if free else "") + f"|{MARK}+")
+        rank = {p: r for p, _, r in self.normal}
+        self.late = {p for p, _, _ in self.normal if len(p) > 2 and merged(p, rank, True) != merged(p, rank, False)}
 
     def check(self, sp) -> None:
         """Refuse what the chunks and the fold don't hold for."""
@@ -73,6 +108,9 @@ class Pieces:
         if not whole or not plain or any(inner.search(p) for p, _, _ in self.normal):
             raise ValueError("only BPE models with identity normalisation are supported")
 
+    def chunks(self, text: str | None) -> list[str]:
+        return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
+
     def bytes_of(self, char: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
@@ -84,34 +122,56 @@ def lattice(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     """
     spark = words.sparkSession
     # As many rows as the model has pieces.
-    table = F.broadcast(spark.createDataFrame(pieces.normal, "piece string, id int, rank long"))
+    codes = [(p, (r << 32) | (p in pieces.late) << 19 | i) for p, i, r in pieces.normal]
+    table = spark.createDataFrame(codes, "known string, code long").withColumn("hash", F.xxhash64("known"))
     spans = words.select(*keys, "chunk", F.explode(F.expr("sequence(0, length(chunk) - 1)")).alias("s"))
     spans = spans.select(*keys, "chunk", "s", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(chunk) - s))")).alias("n"))
     spans = spans.withColumn("piece", F.expr("substring(chunk, s + 1, n)"))
     # Every chunk keeps its first character's row, so one of characters outside the model stays.
-    edges = spans.join(table, "piece", "left").filter("id is not null or (s = 0 and n = 1)").select(*keys, "chunk", "rank", "s", (F.col("s") + F.col("n")).alias("e"), "id")
-    sort = F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "s", "e", "id"))))
-    return fold(edges.groupBy(*keys, "chunk").agg(sort.alias("edges")), keys)
+    # A bit map of the pieces' hashes spares most substrings the join.
+    bits = np.zeros(BITS // 64, dtype=np.uint64)
+    at = np.array([xxhash.xxh64_intdigest(p, seed=42) for p, _, _ in pieces.normal], dtype=np.uint64) & np.uint64(BITS - 1)
+    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    bitmap = f"array({', '.join(f'{x}L' if x > -(1 << 63) else 'bigint(-9223372036854775808)' for x in bits.view(np.int64).tolist())})"
+    spans = spans.withColumn("mark", F.xxhash64("piece")).filter(f"(s = 0 and n = 1) or getbit({bitmap}[cast(shiftright(mark, 6) & {BITS // 64 - 1}L as int)], cast(mark & 63L as int)) = 1")
+    # Hashes make the join's key a number; the pieces themselves are compared as well.
+    edges = spans.join(F.broadcast(table), (F.col("mark") == F.col("hash")) & (F.col("piece") == F.col("known")), "left").filter("code is not null or (s = 0 and n = 1)")
+    # An edge is one number: rank, start, end, whether it may come late, id. Sorting by it sorts by rank.
+    edges = edges.select(*keys, "chunk", F.expr("code | shiftleft(cast(s as bigint), 26) | shiftleft(cast(s + n as bigint), 20)").alias("edge"))
+    return fold(edges.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("edge")).alias("edges")), keys)
 
 
 def fold(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """Apply the merges to each chunk's edges, best first."""
-    joins = """transform(filter(edges, x -> x.e - x.s > 1),
-        x -> struct(shiftleft(1L, x.s) | shiftleft(1L, x.e) as ends, shiftleft(1L, x.e) - shiftleft(1L, x.s + 1) as inner))"""
-    mask = """aggregate(sequence(1, greatest(length(chunk) - 1, 1)), shiftleft(1L, length(chunk) + 1) - 1,
-        (mask, i) -> coalesce(mask & ~get(filter(joins, x -> (mask & x.ends) = x.ends and bit_count(mask & x.inner) = 1), 0).inner, mask))"""
-    starts = "filter(sequence(0, length(chunk)), i -> (shiftright(mask, i) & 1L) = 1L)"
-    ids = """transform(sequence(0, size(starts) - 2), k -> coalesce(
-        get(filter(edges, x -> x.s = starts[k] and x.e = starts[k + 1]), 0).id, -ascii(substring(chunk, starts[k] + 1, 1))))"""
+    """Apply the merges to each chunk's edges, best first.
+
+    One pass over the edges in order of rank does what choosing the best edge
+    again and again does, unless an edge is joined after its turn. While both
+    its ends are boundaries, what happens between them is what happens in the
+    piece alone; so only pieces that alone are joined late matter, and chunks
+    with such an edge are folded the long way.
+    """
+    start, end = "cast(shiftright(x, 26) & 63L as int)", "cast(shiftright(x, 20) & 63L as int)"
+    ends, inner = f"(shiftleft(1L, {start}) | shiftleft(1L, {end}))", f"(shiftleft(1L, {end}) - shiftleft(1L, {start} + 1))"
+    full = "shiftleft(1L, length(chunk) + 1) - 1"
+    joins = f"(mask & {ends}) = {ends} and bit_count(mask & {inner}) = 1"
+    once = f"aggregate(edges, {full}, (mask, x) -> if({joins}, mask & ~{inner}, mask))"
+    again = f"""aggregate(sequence(1, greatest(length(chunk) - 1, 1)), {full},
+        (mask, i) -> coalesce(get(transform(slice(filter(edges, x -> {joins}), 1, 1), x -> mask & ~{inner}), 0), mask))"""
+    mask = f"if(exists(edges, x -> (shiftright(x, 19) & 1L) = 1L), {again}, {once})"
+    used = f"transform(filter(edges, x -> (mask & {ends}) = {ends} and (mask & {inner}) = 0L), x -> shiftleft(cast({start} as bigint), 20) | (x & 524287L))"
+    ids = "transform(used, y -> cast(y & 524287L as int))"
+    starts = "filter(sequence(0, length(chunk) - 1), i -> (shiftright(mask, i) & 1L) = 1L)"
+    gaps = f"transform({starts}, i -> coalesce(cast(get(filter(used, y -> shiftright(y, 20) = i), 0) & 524287L as int), -ascii(substring(chunk, i + 1, 1))))"
 
     def bind(name: str, value: str, body: str) -> str:
         """The body with a name for a value that is computed once; a column would be computed wherever it is used."""
         return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    return grouped.select(*keys, "chunk", F.expr(bind("joins", joins, bind("mask", mask, bind("starts", starts, ids)))).alias("ids"))
+    out = bind("mask", mask, bind("used", f"sort_array({used})", f"if(size(used) = bit_count(mask) - 1, {ids}, {gaps})"))
+    return grouped.select(*keys, "chunk", F.expr(out).alias("ids"))
 
 
-def count_chunks(docs: DataFrame) -> DataFrame:
+def count_chunks(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(chunk, n) for the chunks of all texts that the mask holds."""
 
     def run(batches):
@@ -123,7 +183,7 @@ def count_chunks(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for t in b.column("text").to_pylist():
-                seen.update(chunks(t))
+                seen.update(pieces.chunks(t))
                 if len(seen) > COUNTED:
                     yield rows()
                     seen.clear()
@@ -132,9 +192,9 @@ def count_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def head_table(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> dict[str, bytes]:
-    """The ids of the most frequent chunks: all at or above the least frequency that keeps them within ``head``."""
-    counts = cut(count_chunks(docs), "chunk-counts")
+def head_table(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> bytes:
+    """A packed table with the ids of the most frequent chunks: all at or above the least frequency that keeps them within ``head``."""
+    counts = cut(count_chunks(docs, pieces), "chunk-counts")
     release_shuffles(docs.sparkSession)
     level = F.floor(F.log2("n") * 8)
     sizes = sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
@@ -145,38 +205,54 @@ def head_table(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> dict[str, b
             break
         least = at
     if least is None:
-        return {}
+        return packed({})
     # Dealt by chunk before the lattice multiplies the rows.
     found = lattice(counts.filter(level >= least).select("chunk").repartition("chunk"), [], pieces).toArrow()
     drop(counts)
     release_shuffles(docs.sparkSession)
-    return to_bytes(found.column("chunk").to_pylist(), found.column("ids").combine_chunks(), pieces)
+    return packed(to_bytes(found.column("chunk").to_pylist(), found.column("ids").combine_chunks(), pieces))
 
 
 def to_bytes(names: list[str], ids: pa.ListArray, pieces: Pieces) -> dict[str, bytes]:
-    """Chunk to little-endian ids; places of characters outside the model become their bytes' pieces."""
+    """Chunk to little-endian ids of the model's type; places of characters outside the model become their bytes' pieces."""
     if isinstance(ids, pa.ChunkedArray):
         ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<i4"), ids.offsets.to_numpy()
-    raw = flat.tobytes()
+    flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    raw, width = flat.astype(pieces.type).tobytes(), np.dtype(pieces.type).itemsize
     odd = set(np.flatnonzero(np.add.reduceat(flat < 0, at[:-1]) > 0).tolist()) if len(flat) and (flat < 0).any() else ()
-    return {w: known(flat[at[k] : at[k + 1]].tolist(), pieces) if k in odd else raw[4 * at[k] : 4 * at[k + 1]] for k, w in enumerate(names)}
+    return {w: known(flat[at[k] : at[k + 1]].tolist(), pieces) if k in odd else raw[width * at[k] : width * at[k + 1]] for k, w in enumerate(names)}
 
 
 def known(ids: list[int], pieces: Pieces) -> bytes:
-    return np.array([x for i in ids for x in ((i,) if i >= 0 else pieces.bytes_of(chr(-i)))], dtype="<i4").tobytes()
+    return np.array([x for i in ids for x in ((i,) if i >= 0 else pieces.bytes_of(chr(-i)))], dtype=pieces.type).tobytes()
+
+
+def packed(table: dict) -> bytes:
+    return zlib.compress(pickle.dumps(table, protocol=5), 1)
+
+
+_LAST: dict[bytes, dict] = {}
+
+
+def unpacked(data: bytes) -> dict:
+    """The table; a worker keeps its last one over tasks."""
+    name = data[-64:]
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = pickle.loads(zlib.decompress(data))
+    return _LAST[name]
 
 
 def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> DataFrame:
     """Rows of schema ``out``, made by ``each(batch, ids)`` from the documents' ids as bytes."""
-    spark, pieces = docs.sparkSession, Pieces(model)
+    spark, pieces = docs.sparkSession, load(model)
     docs = docs_view(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     table = spark.sparkContext.broadcast(head_table(docs, pieces, head))
 
     def rare(batches):
-        have = table.value
+        have = unpacked(table.value)
         for b in batches:
-            rows = [(k, r) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) if (r := [c for c in set(chunks(t)).difference(have) if len(c) <= LONG])]
+            rows = [(k, r) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) if (r := [c for c in set(pieces.chunks(t)).difference(have) if len(c) <= LONG])]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.list_(pa.string()))], names=["key", "chunks"])
 
     # Dealt by the text's key once; the lattice of its chunks stays where they are.
@@ -187,50 +263,52 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
     def run(batches):
         import sentencepiece
 
-        have, sp = table.value, None
+        have, sp = unpacked(table.value), None
         for b in batches:
             ids = []
             for t, rest in zip(b.column("text").to_pylist(), b.column("rest").to_pylist()):
-                parts = chunks(t)
+                parts = pieces.chunks(t)
                 own = {r["chunk"]: known(r["ids"], pieces) for r in rest or ()}
                 for c in {c for c in parts if len(c) > LONG}:
                     sp = sp or sentencepiece.SentencePieceProcessor(model_file=model)
-                    own[c] = long_chunk(sp, c)
+                    own[c] = long_chunk(sp, c, pieces.type)
                 ids.append(b"".join([have[c] if c in have else own[c] for c in parts]))
             yield each(b, ids)
 
     return joined.select("doc_id", "text", "rest").mapInArrow(run, out)
 
 
-def long_chunk(sp, chunk: str) -> bytes:
+def long_chunk(sp, chunk: str, kind: str) -> bytes:
     """The library's ids of one chunk; it puts a mark before a text, so one is taken off or the mark's piece dropped."""
     if chunk.startswith(MARK):
-        return np.array(sp.encode(chunk[1:]), dtype="<i4").tobytes()
-    return np.array(sp.encode("\n" + chunk)[len(sp.encode("\n")) :], dtype="<i4").tobytes()
+        return np.array(sp.encode(chunk[1:]), dtype=kind).tobytes()
+    return np.array(sp.encode("\n" + chunk)[len(sp.encode("\n")) :], dtype=kind).tobytes()
 
 
-def decode(ids: bytes, table: list[bytes]) -> bytes:
+def decode(ids: list[int], table: list[bytes]) -> bytes:
     """The text's bytes."""
-    text = b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<i4").tolist())).replace(MARK.encode(), b" ")
+    text = b"".join(map(table.__getitem__, ids)).replace(MARK.encode(), b" ")
     return text[1:] if text.startswith(b" ") else text
 
 
 def encode_documents(docs: DataFrame, model: str, head: int = HEAD) -> DataFrame:
     """(doc_id, ids) of every row."""
 
+    kind = load(model).type
+
     def each(b, ids):
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), list_column([np.frombuffer(x, dtype="<i4") for x in ids], pa.int32())], names=["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), list_column([np.frombuffer(x, dtype=kind) for x in ids], pa.int32())], names=["doc_id", "ids"])
 
     return encode(docs, model, "doc_id long, ids array<int>", each, head)
 
 
 def decode_documents(rows: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
-    table = Pieces(model).table
+    table = load(model).table
 
     def run(batches):
         for b in batches:
-            texts = [decode(np.array(x or [], dtype="<i4").tobytes(), table).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            texts = [decode(x or [], table).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -238,11 +316,13 @@ def decode_documents(rows: DataFrame, model: str) -> DataFrame:
 
 def piece_digests(docs: DataFrame, model: str, head: int = HEAD) -> DataFrame:
     """Per row: the number of pieces, the crc32 of the ids as little-endian unsigned 32-bit integers, and whether decoding gives the text back."""
-    table = Pieces(model).table
+    pieces = load(model)
+    table = pieces.table
 
     def each(b, ids):
-        same = [decode(x, table) == (t or "").encode("utf-8", "surrogatepass").replace(MARK.encode(), b" ") for x, t in zip(ids, b.column("text").to_pylist())]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+        ids = [np.frombuffer(x, dtype=pieces.type) for x in ids]
+        same = [decode(x.tolist(), table) == (t or "").encode("utf-8", "surrogatepass").replace(MARK.encode(), b" ") for x, t in zip(ids, b.column("text").to_pylist())]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     return encode(docs, model, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean", each, head)
 
