@@ -43,7 +43,9 @@ MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters of a chunk the mask holds; chunks in the broadcast table; chunks a task counts before it passes them on.
-LONG, HEAD, COUNTED = 48, 500_000, 500_000
+LONG, HEAD, COUNTED = 48, 400_000, 200_000
+#: Rows of a batch turned to Python objects at a time.
+SLICE = 512
 #: Bits of the map that holds the hashes of pieces.
 BITS = 1 << 18
 
@@ -171,6 +173,12 @@ def fold(grouped: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, "chunk", F.expr(out).alias("ids"))
 
 
+def sliced(batches):
+    for b in batches:
+        for k in range(0, b.num_rows, SLICE):
+            yield b.slice(k, SLICE)
+
+
 def count_chunks(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(chunk, n) for the chunks of all texts that the mask holds."""
 
@@ -181,7 +189,7 @@ def count_chunks(docs: DataFrame, pieces: Pieces) -> DataFrame:
             keep = [k for k in seen if len(k) <= LONG]
             return pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), pa.array([seen[k] for k in keep], pa.int64())], names=["chunk", "n"])
 
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column("text").to_pylist():
                 seen.update(pieces.chunks(t))
                 if len(seen) > COUNTED:
@@ -251,7 +259,7 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
 
     def rare(batches):
         have = unpacked(table.value)
-        for b in batches:
+        for b in sliced(batches):
             rows = [(k, r) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) if (r := [c for c in set(pieces.chunks(t)).difference(have) if len(c) <= LONG])]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.list_(pa.string()))], names=["key", "chunks"])
 
@@ -264,7 +272,7 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
         import sentencepiece
 
         have, sp = unpacked(table.value), None
-        for b in batches:
+        for b in sliced(batches):
             ids = []
             for t, rest in zip(b.column("text").to_pylist(), b.column("rest").to_pylist()):
                 parts = pieces.chunks(t)
