@@ -64,6 +64,13 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send workers at most so many rows at a time, for operators that hold tables of their own next to a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def to_signed(values) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 

@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, docs_view, drop, list_column, read, release_shuffles
+from .common import bound_batches, cut, docs_view, drop, list_column, read, release_shuffles
 
 MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters of a chunk the mask holds; chunks in the broadcast table; chunks a task counts before it passes them on.
-LONG, HEAD, COUNTED = 48, 400_000, 200_000
+LONG, HEAD, COUNTED = 48, 300_000, 100_000
 #: Rows of a batch turned to Python objects at a time.
 SLICE = 512
 #: Bits of the map that holds the hashes of pieces.
@@ -204,7 +204,7 @@ def head_table(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> bytes:
     """A packed table with the ids of the most frequent chunks: all at or above the least frequency that keeps them within ``head``."""
     counts = cut(count_chunks(docs, pieces), "chunk-counts")
     release_shuffles(docs.sparkSession)
-    level = F.floor(F.log2("n") * 8)
+    level = F.floor(F.log2("n") * 32)
     sizes = sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
     total, least = 0, None
     for at, n in sizes:
@@ -254,6 +254,7 @@ def unpacked(data: bytes) -> dict:
 def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> DataFrame:
     """Rows of schema ``out``, made by ``each(batch, ids)`` from the documents' ids as bytes."""
     spark, pieces = docs.sparkSession, load(model)
+    bound_batches(spark)
     docs = docs_view(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     table = spark.sparkContext.broadcast(head_table(docs, pieces, head))
 
