@@ -25,6 +25,7 @@ are not read. Texts are taken whole.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import pickle
 import re
@@ -46,6 +47,8 @@ SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LONG, HEAD, COUNTED = 48, 300_000, 100_000
 #: Rows of a batch turned to Python objects at a time.
 SLICE = 512
+#: Partitions of the head's lattice, and of the other chunks' for each partition of the documents: a lattice is many times its chunks.
+PARTS, SPREAD = 64, 8
 #: Bits of the map that holds the hashes of pieces.
 BITS = 1 << 18
 
@@ -215,7 +218,7 @@ def head_table(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> bytes:
     if least is None:
         return packed({})
     # Dealt by chunk before the lattice multiplies the rows.
-    found = lattice(counts.filter(level >= least).select("chunk").repartition("chunk"), [], pieces).toArrow()
+    found = lattice(counts.filter(level >= least).select("chunk").repartition(PARTS, "chunk"), [], pieces).toArrow()
     drop(counts)
     release_shuffles(docs.sparkSession)
     return packed(to_bytes(found.column("chunk").to_pylist(), found.column("ids").combine_chunks(), pieces))
@@ -239,6 +242,15 @@ def packed(table: dict) -> bytes:
     return zlib.compress(pickle.dumps(table, protocol=5), 1)
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _LAST: dict[bytes, dict] = {}
 
 
@@ -246,6 +258,7 @@ def unpacked(data: bytes) -> dict:
     """The table; a worker keeps its last one over tasks."""
     name = data[-64:]
     if name not in _LAST:
+        give_back()
         _LAST.clear()
         _LAST[name] = pickle.loads(zlib.decompress(data))
     return _LAST[name]
@@ -265,7 +278,7 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.list_(pa.string()))], names=["key", "chunks"])
 
     # Dealt by the text's key once; the lattice of its chunks stays where they are.
-    rest = docs.mapInArrow(rare, "key long, chunks array<string>").groupBy("key").agg(F.first("chunks").alias("chunks")).select("key", F.explode("chunks").alias("chunk"))
+    rest = docs.mapInArrow(rare, "key long, chunks array<string>").groupBy("key").agg(F.first("chunks").alias("chunks")).repartition(SPREAD * docs.rdd.getNumPartitions(), "key").select("key", F.explode("chunks").alias("chunk"))
     rest = lattice(rest, ["key"], pieces).groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("rest"))
     joined = docs.join(rest, "key", "left")
 
