@@ -5,8 +5,8 @@ headers, footers, sidebars, forms, scripts, notices, adverts and comments (by
 tag, role, class or id) go; blocks inside an article or main element stay.
 The blocks left are undecided: pages without such an element consist of them.
 
-The pages of a host are taken together, sorted, a bounded number at a time
-(range partitions split a large host). Their token streams are concatenated,
+The pages of a host are taken together; a host of more than ``CHUNK_PAGES``
+is dealt into groups by a hash, each large enough to show what repeats. Their token streams are concatenated,
 and the suffixes sorted by their first ``RUN`` tokens (prefix doubling);
 neighbours in that order that agree and come from distinct pages are repeated
 runs. Of an undecided block the covered tokens are removed as boilerplate and
@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 #: Tokens of a repeated run; pages and characters that are compared at a time.
-RUN, CHUNK_PAGES, CHUNK_CHARS = 8, 512, 8 << 20
+RUN, CHUNK_PAGES, CHUNK_CHARS = 8, 512, 16 << 20
+#: Large hosts up to which their sizes are broadcast.
+BROADCAST_HOSTS = 100_000
 OUT = "page_id long, url string, text string, n_chars long, n_repeated long"
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>|<[!?][^<>]*>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
@@ -235,7 +237,7 @@ def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
             )
 
         for b in batches:
-            for i, u, h, page in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))):
+            for i, u, h, page in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), zip(b.column("host").to_pylist(), b.column("group").to_pylist()), b.column("html").to_pylist()):
                 if held and (h != host or len(held) >= CHUNK_PAGES or size >= CHUNK_CHARS):
                     yield done()
                     held, size = [], 0
@@ -248,9 +250,12 @@ def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.xxhash64("page_id", "url")
-    return rows.repartitionByRange(parts, "host", key).sortWithinPartitions("host", key).mapInArrow(extract, OUT)
+    # Hosts that are larger than a chunk are dealt into groups; they are few, and broadcast while their number is.
+    large = cut(rows.groupBy("host").count().filter(F.col("count") > CHUNK_PAGES).select("host", F.ceil(F.col("count") * 2 / CHUNK_PAGES).cast("int").alias("groups")), "large-hosts")
+    rows = rows.join(F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large, "host", "left")
+    rows = rows.withColumn("group", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(0)).cast("int"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.rdd.getNumPartitions())
+    return rows.drop("groups").repartition(parts, "host", "group").sortWithinPartitions("host", "group", "page_id", "url").mapInArrow(extract, OUT)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,25 @@
-"""DuckDB SQL for the operators that SQL can express, over whole tables."""
+"""DuckDB SQL for the operators that SQL can express at the small scale, over whole tables."""
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ORACLES: dict[str, str] = {}
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS x FROM (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS k FROM i WHERE len(ws) > 0)),
+place AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
+hit AS (SELECT doc_id, item_id, k, place.n FROM place JOIN win ON win.n = place.n AND x = array_to_string(ws[k:k + place.n - 1], ' ')),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS ws FROM documents),
+place AS (SELECT doc_id, k, sha256(array_to_string(ws[k:k + 49], ' ')) AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS k FROM d WHERE len(ws) >= 50)),
+first AS (SELECT x, min(doc_id) AS f FROM place GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM place JOIN first USING (x) WHERE doc_id > f),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+}
