@@ -177,9 +177,11 @@ def find_repeats(docs: DataFrame, window: int = 50) -> Repeats:
     release_shuffles(spark)
     windows = near.mapInArrow(windows_near(window, period), "h1 long, h2 int, doc_id long, place int")
     origin = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).filter("origin < last")
+    # Written, so that the join deals plain rows and Spark can split those of a passage that very many documents share.
+    origin = cut(origin.select("h1", "h2", "origin"), "substring-origin")
     starts = windows.join(origin, ["h1", "h2"]).filter("doc_id > origin").groupBy("doc_id").agg(F.collect_set("place").alias("starts"))
     touched = cut(near.drop("places").join(starts, "doc_id"), "substring-touched")
-    drop(near)
+    drop(near, origin)
     release_shuffles(spark)
     rows_first = rows.join(first.withColumnRenamed("doc_id", "first_id"), "text_key", "left")
     rows_first = rows_first.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
