@@ -10,7 +10,8 @@ The models at hand are BPE models, whose scores are merge ranks. A Viterbi
 search over them gives other pieces than the library does, so the fold applies
 the merges: its state is the set of piece boundaries, as a bit mask, and each
 step takes the edge of best score that joins two pieces (the leftmost of
-equals). Unigram models are refused.
+equals). Single characters are where every merge begins, so their edges are
+implied, and those that no merge took are filled in after the fold. Unigram models are refused.
 
 Chunks reach documents in two ways, alike at every size: the ``HEAD`` most
 frequent ones as a broadcast table, bounded by that number; all others joined
@@ -25,8 +26,10 @@ are not read. Texts are taken whole.
 
 from __future__ import annotations
 
+import array
 import contextlib
 import functools
+import itertools
 import pickle
 import re
 import zlib
@@ -34,7 +37,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +52,10 @@ LONG, HEAD, COUNTED = 48, 300_000, 100_000
 SLICE = 512
 #: Partitions of the head's lattice, and of the other chunks' for each partition of the documents: a lattice is many times its chunks.
 PARTS, SPREAD = 64, 8
-#: Bits of the map that holds the hashes of pieces.
-BITS = 1 << 18
+#: Groups of edges that a task keeps in memory before it goes on by sorting.
+GROUPS = 20_000
+#: Substrings of a chunk to look up: start << 6 | length.
+SPANS = "array<smallint>"
 
 
 def merged(word: str, rank: dict[str, int], once: bool) -> list[int]:
@@ -93,7 +98,12 @@ class Pieces:
         self.table = [b"" if i in special else sp.id_to_piece(i).encode() for i in every]
         for value, i in self.bytes.items():
             self.table[i] = bytes([value])
-        self.longest = max(len(p) for p, _, _ in self.normal)
+        self.names = frozenset(p for p, _, _ in self.normal)
+        self.single = {p: i for p, i, _ in self.normal if len(p) == 1}
+        # The longest piece that begins with two characters.
+        self.reach: dict[str, int] = {}
+        for p in self.names:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
         self.type = "<u2" if len(self.table) <= 1 << 16 else "<i4"
         self.check(sp)
         # Signs that stand behind a letter in no piece: chunks end before them.
@@ -116,12 +126,21 @@ class Pieces:
     def chunks(self, text: str | None) -> list[str]:
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def bytes_of(self, char: str) -> list[int]:
-        return [self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+    def spans(self, chunk: str) -> list[int]:
+        """The substrings of a chunk to look up, as start << 6 | length: of those as long as a piece may be, the ones the join will find.
+
+        Single characters are implied. A chunk without others keeps its first one, so that its row stays.
+        """
+        n, names, reach = len(chunk), self.names, self.reach
+        return [s << 6 | k for s in range(n - 1) for k in range(2, min(reach.get(chunk[s : s + 2], 1), n - s) + 1) if chunk[s : s + k] in names] or [1]
+
+    def character(self, char: str) -> list[int]:
+        """Its piece, or those of its bytes if it is outside the model."""
+        return [self.single[char]] if char in self.single else [self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
 
 def lattice(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
-    """Add ``ids`` to the rows (keys, chunk), which must be distinct; an id below 0 stands for a character outside the model.
+    """Add ``used`` to the rows (keys, chunk, spans), which must be distinct: the pieces of several characters, as start << 25 | end << 19 | id.
 
     The edges are grouped by the columns the rows are dealt by, so no exchange follows.
     """
@@ -129,20 +148,12 @@ def lattice(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     # As many rows as the model has pieces.
     codes = [(p, (r << 32) | (p in pieces.late) << 19 | i) for p, i, r in pieces.normal]
     table = spark.createDataFrame(codes, "known string, code long").withColumn("hash", F.xxhash64("known"))
-    spans = words.select(*keys, "chunk", F.explode(F.expr("sequence(0, length(chunk) - 1)")).alias("s"))
-    spans = spans.select(*keys, "chunk", "s", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(chunk) - s))")).alias("n"))
-    spans = spans.withColumn("piece", F.expr("substring(chunk, s + 1, n)"))
-    # Every chunk keeps its first character's row, so one of characters outside the model stays.
-    # A bit map of the pieces' hashes spares most substrings the join.
-    bits = np.zeros(BITS // 64, dtype=np.uint64)
-    at = np.array([xxhash.xxh64_intdigest(p, seed=42) for p, _, _ in pieces.normal], dtype=np.uint64) & np.uint64(BITS - 1)
-    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    bitmap = f"array({', '.join(f'{x}L' if x > -(1 << 63) else 'bigint(-9223372036854775808)' for x in bits.view(np.int64).tolist())})"
-    spans = spans.withColumn("mark", F.xxhash64("piece")).filter(f"(s = 0 and n = 1) or getbit({bitmap}[cast(shiftright(mark, 6) & {BITS // 64 - 1}L as int)], cast(mark & 63L as int)) = 1")
+    spans = words.select(*keys, "chunk", F.explode("spans").alias("span"))
+    spans = spans.withColumn("piece", F.expr("substring(chunk, shiftright(span, 6) + 1, span & 63)")).withColumn("mark", F.xxhash64("piece"))
     # Hashes make the join's key a number; the pieces themselves are compared as well.
-    edges = spans.join(F.broadcast(table), (F.col("mark") == F.col("hash")) & (F.col("piece") == F.col("known")), "left").filter("code is not null or (s = 0 and n = 1)")
+    edges = spans.join(F.broadcast(table), (F.col("mark") == F.col("hash")) & (F.col("piece") == F.col("known")), "left")
     # An edge is one number: rank, start, end, whether it may come late, id. Sorting by it sorts by rank.
-    edges = edges.select(*keys, "chunk", F.expr("code | shiftleft(cast(s as bigint), 26) | shiftleft(cast(s + n as bigint), 20)").alias("edge"))
+    edges = edges.select(*keys, "chunk", F.expr("if(span = 1, null, code) | shiftleft(cast(shiftright(span, 6) as bigint), 26) | shiftleft(cast(shiftright(span, 6) + (span & 63) as bigint), 20)").alias("edge"))
     return fold(edges.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("edge")).alias("edges")), keys)
 
 
@@ -163,17 +174,10 @@ def fold(grouped: DataFrame, keys: list[str]) -> DataFrame:
     again = f"""aggregate(sequence(1, greatest(length(chunk) - 1, 1)), {full},
         (mask, i) -> coalesce(get(transform(slice(filter(edges, x -> {joins}), 1, 1), x -> mask & ~{inner}), 0), mask))"""
     mask = f"if(exists(edges, x -> (shiftright(x, 19) & 1L) = 1L), {again}, {once})"
-    used = f"transform(filter(edges, x -> (mask & {ends}) = {ends} and (mask & {inner}) = 0L), x -> shiftleft(cast({start} as bigint), 20) | (x & 524287L))"
-    ids = "transform(used, y -> cast(y & 524287L as int))"
-    starts = "filter(sequence(0, length(chunk) - 1), i -> (shiftright(mask, i) & 1L) = 1L)"
-    gaps = f"transform({starts}, i -> coalesce(cast(get(filter(used, y -> shiftright(y, 20) = i), 0) & 524287L as int), -ascii(substring(chunk, i + 1, 1))))"
-
-    def bind(name: str, value: str, body: str) -> str:
-        """The body with a name for a value that is computed once; a column would be computed wherever it is used."""
-        return f"get(transform(array({value}), {name} -> {body}), 0)"
-
-    out = bind("mask", mask, bind("used", f"sort_array({used})", f"if(size(used) = bit_count(mask) - 1, {ids}, {gaps})"))
-    return grouped.select(*keys, "chunk", F.expr(out).alias("ids"))
+    left = f"filter(edges, x -> (mask & {ends}) = {ends} and (mask & {inner}) = 0L)"
+    used = f"sort_array(transform({left}, x -> shiftleft({start}, 25) | shiftleft({end}, 19) | cast(x & 524287L as int)))"
+    # The transform computes the mask once; a column would be computed wherever it is used.
+    return grouped.select(*keys, "chunk", F.expr(f"get(transform(array({mask}), mask -> {used}), 0)").alias("used"))
 
 
 def sliced(batches):
@@ -203,6 +207,14 @@ def count_chunks(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return docs.select("text").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
+def with_spans(chunks: list[str], pieces: Pieces) -> pa.RecordBatch:
+    flat, at = array.array("h"), [0]
+    for c in chunks:
+        flat.extend(pieces.spans(c))
+        at.append(len(flat))
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.array(flat, dtype=np.int16)))], names=["chunk", "spans"])
+
+
 def head_table(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> bytes:
     """A packed table with the ids of the most frequent chunks: all at or above the least frequency that keeps them within ``head``."""
     counts = cut(count_chunks(docs, pieces), "chunk-counts")
@@ -217,25 +229,55 @@ def head_table(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> bytes:
         least = at
     if least is None:
         return packed({})
+
+    def spans(batches):
+        for b in batches:
+            yield with_spans(b.column("chunk").to_pylist(), pieces)
+
     # Dealt by chunk before the lattice multiplies the rows.
-    found = lattice(counts.filter(level >= least).select("chunk").repartition(PARTS, "chunk"), [], pieces).toArrow()
+    chunks = counts.filter(level >= least).select("chunk").mapInArrow(spans, f"chunk string, spans {SPANS}")
+    found = lattice(chunks.repartition(PARTS, "chunk"), [], pieces).toArrow()
     drop(counts)
     release_shuffles(docs.sparkSession)
-    return packed(to_bytes(found.column("chunk").to_pylist(), found.column("ids").combine_chunks(), pieces))
-
-
-def to_bytes(names: list[str], ids: pa.ListArray, pieces: Pieces) -> dict[str, bytes]:
-    """Chunk to little-endian ids of the model's type; places of characters outside the model become their bytes' pieces."""
-    if isinstance(ids, pa.ChunkedArray):
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-    raw, width = flat.astype(pieces.type).tobytes(), np.dtype(pieces.type).itemsize
-    odd = set(np.flatnonzero(np.add.reduceat(flat < 0, at[:-1]) > 0).tolist()) if len(flat) and (flat < 0).any() else ()
-    return {w: known(flat[at[k] : at[k + 1]].tolist(), pieces) if k in odd else raw[width * at[k] : width * at[k + 1]] for k, w in enumerate(names)}
-
-
-def known(ids: list[int], pieces: Pieces) -> bytes:
-    return np.array([x for i in ids for x in ((i,) if i >= 0 else pieces.bytes_of(chr(-i)))], dtype=pieces.type).tobytes()
+    table: dict[str, bytes] = {}
+    for b in found.to_batches():
+        table.update(zip(b.column("chunk").to_pylist(), to_bytes(b.column("chunk"), b.column("used"), pieces)))
+    return packed(table)
+
+
+def to_bytes(chunks: pa.Array, used: pa.ListArray, pieces: Pieces) -> list[bytes]:
+    """Little-endian ids of the model's type, by chunk: the pieces the fold left, and between them single characters."""
+    flat, n = used.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(used).to_numpy(zero_copy_only=False)
+    at = np.concatenate(([0], np.cumsum(n)))
+    start, end, some = flat >> 25, flat >> 19 & 63, np.flatnonzero(n)
+    before = np.roll(end, 1)
+    before[at[some]] = 0
+    last = np.zeros(len(n), dtype=np.int64)
+    last[some] = end[at[some + 1] - 1]
+    gaps = last != pc.utf8_length(chunks).to_numpy(zero_copy_only=False)
+    gaps[np.repeat(np.arange(len(n)), n)[start != before]] = True
+    raw, width = (flat & 0x7FFFF).astype(pieces.type).tobytes(), np.dtype(pieces.type).itemsize
+    out = [raw[width * a : width * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    for k in np.flatnonzero(gaps).tolist():
+        out[k] = filled(chunks[k].as_py(), flat[at[k] : at[k + 1]].tolist(), pieces)
+    return out
+
+
+def filled(chunk: str, used: list[int], pieces: Pieces) -> bytes:
+    ids, at = [], 0
+    for x in [*used, len(chunk) << 25]:
+        for c in chunk[at : x >> 25]:
+            ids += pieces.character(c)
+        ids.append(x & 0x7FFFF)
+        at = x >> 19 & 63
+    return np.array(ids[:-1], dtype=pieces.type).tobytes()
+
+
+def rest_by_row(rest: pa.ListArray, pieces: Pieces) -> list[dict[str, bytes]]:
+    """Chunk to ids for each row; null rows have none."""
+    flat = rest.flatten()
+    every = zip(flat.field("chunk").to_pylist(), to_bytes(flat.field("chunk"), flat.field("used"), pieces))
+    return [dict(itertools.islice(every, n or 0)) for n in pc.list_value_length(rest).to_pylist()]
 
 
 def packed(table: dict) -> bytes:
@@ -268,6 +310,7 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
     """Rows of schema ``out``, made by ``each(batch, ids)`` from the documents' ids as bytes."""
     spark, pieces = docs.sparkSession, load(model)
     bound_batches(spark)
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
     docs = docs_view(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     table = spark.sparkContext.broadcast(head_table(docs, pieces, head))
 
@@ -275,11 +318,13 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
         have = unpacked(table.value)
         for b in sliced(batches):
             rows = [(k, r) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) if (r := [c for c in set(pieces.chunks(t)).difference(have) if len(c) <= LONG])]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.list_(pa.string()))], names=["key", "chunks"])
+            at = pa.array(np.cumsum([0] + [len(r) for _, r in rows]), pa.int32())
+            found = with_spans([c for _, r in rows for c in r], pieces)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(found.columns, names=found.schema.names))], names=["key", "chunks"])
 
     # Dealt by the text's key once; the lattice of its chunks stays where they are.
-    rest = docs.mapInArrow(rare, "key long, chunks array<string>").groupBy("key").agg(F.first("chunks").alias("chunks")).repartition(SPREAD * docs.rdd.getNumPartitions(), "key").select("key", F.explode("chunks").alias("chunk"))
-    rest = lattice(rest, ["key"], pieces).groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("rest"))
+    rest = docs.mapInArrow(rare, f"key long, chunks array<struct<chunk: string, spans: {SPANS}>>").groupBy("key").agg(F.first("chunks").alias("chunks")).repartition(SPREAD * docs.rdd.getNumPartitions(), "key").select("key", F.inline("chunks"))
+    rest = lattice(rest, ["key"], pieces).groupBy("key").agg(F.collect_list(F.struct("chunk", "used")).alias("rest"))
     joined = docs.join(rest, "key", "left")
 
     def run(batches):
@@ -288,13 +333,17 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
         have, sp = unpacked(table.value), None
         for b in sliced(batches):
             ids = []
-            for t, rest in zip(b.column("text").to_pylist(), b.column("rest").to_pylist()):
+            for t, own in zip(b.column("text").to_pylist(), rest_by_row(b.column("rest"), pieces)):
                 parts = pieces.chunks(t)
-                own = {r["chunk"]: known(r["ids"], pieces) for r in rest or ()}
-                for c in {c for c in parts if len(c) > LONG}:
-                    sp = sp or sentencepiece.SentencePieceProcessor(model_file=model)
-                    own[c] = long_chunk(sp, c, pieces.type)
-                ids.append(b"".join([have[c] if c in have else own[c] for c in parts]))
+                found = list(map(have.get, parts))
+                for k, x in enumerate(found):
+                    if x is None:
+                        c = parts[k]
+                        if c not in own:  # only a long chunk
+                            sp = sp or sentencepiece.SentencePieceProcessor(model_file=model)
+                            own[c] = long_chunk(sp, c, pieces.type)
+                        found[k] = own[c]
+                ids.append(b"".join(found))
             yield each(b, ids)
 
     return joined.select("doc_id", "text", "rest").mapInArrow(run, out)
