@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice (op 10).
 
 Texts are cut into chunks that no piece crosses: a run of word marks with the
-characters up to the next, and line breaks and tabs. For each distinct chunk
+characters up to the next, and line breaks and tabs; those that are not among
+the frequent ones are cut further, wherever two characters follow each other
+in no piece. For each distinct chunk
 the substrings of at most the longest piece's length are exploded and
 equi-joined to the piece table (bounded by the model), the edges found are
 grouped by chunk, and ``aggregate`` folds over them.
@@ -30,6 +32,7 @@ import array
 import contextlib
 import functools
 import itertools
+import operator
 import pickle
 import re
 import zlib
@@ -82,6 +85,14 @@ def load(path: str) -> "Pieces":
     return Pieces(path)
 
 
+@functools.lru_cache(maxsize=2)
+def restored(state: bytes) -> "Pieces":
+    """The pieces from their state; a worker keeps them over tasks."""
+    out = Pieces.__new__(Pieces)
+    out.__dict__.update(pickle.loads(state))
+    return out
+
+
 class Pieces:
     """The model's pieces, ids and scores, read by the library."""
 
@@ -106,15 +117,19 @@ class Pieces:
             self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
         self.type = "<u2" if len(self.table) <= 1 << 16 else "<i4"
         self.check(sp)
+        self.pairs = frozenset(p[k : k + 2] for p in self.names for k in range(len(p) - 1))
         # Signs that stand behind a letter in no piece: chunks end before them.
-        pairs = {p[k : k + 2] for p, _, _ in self.normal for k in range(len(p) - 1)}
-        behind = {x[1] for x in pairs if LETTER.match(x[0])}
+        behind = {x[1] for x in self.pairs if x[0].isalpha()}
         free = re.escape("".join(c for c in SIGNS if c not in behind))
+        letter = "".join(sorted({x[0] for x in self.pairs if LETTER.match(x[0]) and not x[0].isalpha()})).join(("[^\\W\\d_", "]"))
         rest = f"[^{MARK}\n\t{free}]*"
-        self.chunk = re.compile(f"[\n\t]|{MARK}*[^{MARK}\n\t]{rest}" + (f"(?:(?<!{LETTER.pattern})[{free}]{rest})*" if free else "") + f"|{MARK}+")
+        self.chunk = re.compile(f"[\n\t]|{MARK}*[^{MARK}\n\t]{rest}" + (f"(?:(?<!{letter})[{free}]{rest})*" if free else "") + f"|{MARK}+")
         rank = {p: r for p, _, r in self.normal}
         self.late = {p for p, _, _ in self.normal if len(p) > 2 and merged(p, rank, True) != merged(p, rank, False)}
 
+    def __reduce__(self):
+        return restored, (pickle.dumps(self.__dict__, protocol=5),)
+
     def check(self, sp) -> None:
         """Refuse what the chunks and the fold don't hold for."""
         whole = all(-sp.get_score(i) == int(-sp.get_score(i)) for _, i, _ in self.normal)
@@ -126,6 +141,18 @@ class Pieces:
     def chunks(self, text: str | None) -> list[str]:
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk, cut between characters that follow each other in no piece."""
+        pairs, after = self.pairs, chunk[1:]
+        if pairs.issuperset(map(operator.add, chunk, after)):
+            return [chunk]
+        out, at = [], 0
+        for k, pair in enumerate(map(operator.add, chunk, after), 1):
+            if pair not in pairs:
+                out.append(chunk[at:k])
+                at = k
+        return [*out, chunk[at:]]
+
     def spans(self, chunk: str) -> list[int]:
         """The substrings of a chunk to look up, as start << 6 | length: of those as long as a piece may be, the ones the join will find.
 
@@ -187,14 +214,18 @@ def sliced(batches):
 
 
 def count_chunks(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, n) for the chunks of all texts that the mask holds."""
+    """(chunk, n) for the chunks of all texts, cut to parts, that the mask holds."""
 
     def run(batches):
         seen: Counter = Counter()
 
         def rows():
-            keep = [k for k in seen if len(k) <= LONG]
-            return pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), pa.array([seen[k] for k in keep], pa.int64())], names=["chunk", "n"])
+            parts: Counter = Counter()
+            for c, n in seen.items():
+                for p in pieces.parts(c):
+                    parts[p] += n
+            keep = [p for p in parts if len(p) <= LONG]
+            return pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), pa.array([parts[p] for p in keep], pa.int64())], names=["chunk", "n"])
 
         for b in sliced(batches):
             for t in b.column("text").to_pylist():
@@ -293,19 +324,49 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-_LAST: dict[bytes, dict] = {}
+class Head(dict):
+    """The head table; ``missing`` gives the ids of other chunks."""
 
+    def __missing__(self, chunk: str) -> bytes:
+        return self.missing(chunk)
 
-def unpacked(data: bytes) -> dict:
+
+_LAST: dict[bytes, Head] = {}
+
+
+def unpacked(data: bytes) -> Head:
     """The table; a worker keeps its last one over tasks."""
     name = data[-64:]
     if name not in _LAST:
         give_back()
         _LAST.clear()
-        _LAST[name] = pickle.loads(zlib.decompress(data))
+        _LAST[name] = Head(pickle.loads(zlib.decompress(data)))
     return _LAST[name]
 
 
+class Found:
+    """Ids of chunks: from the head table, from the parts a row brings along in ``own``, or for long parts from the library."""
+
+    def __init__(self, head: "Head", pieces: Pieces, model: str):
+        self.head, self.pieces, self.model, self.own = head, pieces, model, {}
+        head.missing, self.of = self.cut, head.__getitem__
+
+    def cut(self, chunk: str) -> bytes:
+        return b"".join([self.head[p] if p in self.head else self.part(p) for p in self.pieces.parts(chunk)])
+
+    def part(self, part: str) -> bytes:
+        if part not in self.own:
+            self.own[part] = long_chunk(library(self.model), part, self.pieces.type)
+        return self.own[part]
+
+
+@functools.lru_cache(maxsize=2)
+def library(model: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=model)
+
+
 def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> DataFrame:
     """Rows of schema ``out``, made by ``each(batch, ids)`` from the documents' ids as bytes."""
     spark, pieces = docs.sparkSession, load(model)
@@ -317,7 +378,11 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
     def rare(batches):
         have = unpacked(table.value)
         for b in sliced(batches):
-            rows = [(k, r) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) if (r := [c for c in set(pieces.chunks(t)).difference(have) if len(c) <= LONG])]
+            rows = []
+            for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                parts = {p for c in set(pieces.chunks(t)).difference(have) for p in pieces.parts(c)}
+                if r := [p for p in parts.difference(have) if len(p) <= LONG]:
+                    rows.append((key, r))
             at = pa.array(np.cumsum([0] + [len(r) for _, r in rows]), pa.int32())
             found = with_spans([c for _, r in rows for c in r], pieces)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(found.columns, names=found.schema.names))], names=["key", "chunks"])
@@ -328,22 +393,11 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
     joined = docs.join(rest, "key", "left")
 
     def run(batches):
-        import sentencepiece
-
-        have, sp = unpacked(table.value), None
+        have = Found(unpacked(table.value), pieces, model)
         for b in sliced(batches):
             ids = []
-            for t, own in zip(b.column("text").to_pylist(), rest_by_row(b.column("rest"), pieces)):
-                parts = pieces.chunks(t)
-                found = list(map(have.get, parts))
-                for k, x in enumerate(found):
-                    if x is None:
-                        c = parts[k]
-                        if c not in own:  # only a long chunk
-                            sp = sp or sentencepiece.SentencePieceProcessor(model_file=model)
-                            own[c] = long_chunk(sp, c, pieces.type)
-                        found[k] = own[c]
-                ids.append(b"".join(found))
+            for t, have.own in zip(b.column("text").to_pylist(), rest_by_row(b.column("rest"), pieces)):
+                ids.append(b"".join(map(have.of, pieces.chunks(t))))
             yield each(b, ids)
 
     return joined.select("doc_id", "text", "rest").mapInArrow(run, out)
