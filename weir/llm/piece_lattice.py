@@ -380,8 +380,8 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
         for b in sliced(batches):
             rows = []
             for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
-                parts = {p for c in set(pieces.chunks(t)).difference(have) for p in pieces.parts(c)}
-                if r := [p for p in parts.difference(have) if len(p) <= LONG]:
+                parts = {p for c in set(pieces.chunks(t)) if c not in have for p in pieces.parts(c)}
+                if r := [p for p in parts if p not in have and len(p) <= LONG]:
                     rows.append((key, r))
             at = pa.array(np.cumsum([0] + [len(r) for _, r in rows]), pa.int32())
             found = with_spans([c for _, r in rows for c in r], pieces)
