@@ -111,10 +111,10 @@ class Pieces:
             self.table[i] = bytes([value])
         self.names = frozenset(p for p, _, _ in self.normal)
         self.single = {p: i for p, i, _ in self.normal if len(p) == 1}
-        # The longest piece that begins with two characters.
+        # The longest piece that begins with three characters (or is so short).
         self.reach: dict[str, int] = {}
         for p in self.names:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
+            self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 2))
         self.type = "<u2" if len(self.table) <= 1 << 16 else "<i4"
         self.check(sp)
         self.pairs = frozenset(p[k : k + 2] for p in self.names for k in range(len(p) - 1))
@@ -159,7 +159,7 @@ class Pieces:
         Single characters are implied. A chunk without others keeps its first one, so that its row stays.
         """
         n, names, reach = len(chunk), self.names, self.reach
-        return [s << 6 | k for s in range(n - 1) for k in range(2, min(reach.get(chunk[s : s + 2], 1), n - s) + 1) if chunk[s : s + k] in names] or [1]
+        return [s << 6 | k for s in range(n - 1) for k in range(2, min(reach.get(chunk[s : s + 3], 2), n - s) + 1) if chunk[s : s + k] in names] or [1]
 
     def character(self, char: str) -> list[int]:
         """Its piece, or those of its bytes if it is outside the model."""
@@ -376,10 +376,15 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
     table = spark.sparkContext.broadcast(head_table(docs, pieces, head))
 
     def rare(batches):
-        have = unpacked(table.value)
+        have, sent = unpacked(table.value), set()
         for b in sliced(batches):
             rows = []
+            if len(sent) > COUNTED:
+                sent.clear()
             for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                if key in sent:
+                    continue
+                sent.add(key)
                 parts = {p for c in set(pieces.chunks(t)) if c not in have for p in pieces.parts(c)}
                 if r := [p for p in parts if p not in have and len(p) <= LONG]:
                     rows.append((key, r))
@@ -387,8 +392,8 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
             found = with_spans([c for _, r in rows for c in r], pieces)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(found.columns, names=found.schema.names))], names=["key", "chunks"])
 
-    # Dealt by the text's key once; the lattice of its chunks stays where they are.
-    rest = docs.mapInArrow(rare, f"key long, chunks array<struct<chunk: string, spans: {SPANS}>>").groupBy("key").agg(F.first("chunks").alias("chunks")).repartition(SPREAD * docs.rdd.getNumPartitions(), "key").select("key", F.inline("chunks"))
+    # A task passes a key on once, so copies are few before the exchange. Dealt by the text's key once; the lattice of its chunks stays where they are.
+    rest = docs.mapInArrow(rare, f"key long, chunks array<struct<chunk: string, spans: {SPANS}>>").repartition(SPREAD * docs.rdd.getNumPartitions(), "key").groupBy("key").agg(F.first("chunks").alias("chunks")).select("key", F.inline("chunks"))
     rest = lattice(rest, ["key"], pieces).groupBy("key").agg(F.collect_list(F.struct("chunk", "used")).alias("rest"))
     joined = docs.join(rest, "key", "left")
 
