@@ -6,8 +6,9 @@ logistic model over its words; a document's is the noisy-or of its sentences,
 learns which sentences bear the label, and ``offending_sentences`` shows them.
 
 Fitting reads a bounded sample: the ``max_rows`` labelled rows with the least
-hash of doc_id. Words that tell the classes apart in it, at most
-``max_words``, become features (as hashes). Scores read every text whole.
+hash of doc_id. Words that stand in its toxic texts more often than chance
+explains become features (as hashes): each is tested on its own counts, so a
+language with few toxic texts keeps its words. Scores read every text whole.
 
 Edge cases: null and empty texts have no sentence and score 0; labels that are
 null, or of documents that don't exist, teach nothing; a doc_id that repeats
@@ -33,8 +34,8 @@ from .common import WORD_CACHE, docs_view, list_column, read
 SENTENCE = re.compile(rb"[.!?\n]+")
 #: Bytes of ASCII letters and of non-ASCII characters; all others separate words.
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Rows read for fitting, features, and how many toxic texts (at least, and as a share) must hold a feature.
-MAX_ROWS, MAX_WORDS, MIN_TOXIC_TEXTS, MIN_TOXIC_SHARE = 20_000, 500, 3, 0.02
+#: Rows read for fitting, and the signed root of a feature's likelihood ratio against the toxic share of all texts (4.5: by chance 3 words in a million).
+MAX_ROWS, MIN_Z = 20_000, 4.5
 
 
 def held_out() -> Column:
@@ -103,7 +104,7 @@ def fit(y: np.ndarray, plain: np.ndarray, doc: np.ndarray, entry_sentence: np.nd
     return theta[:m], float(theta[m])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Learn from the labelled rows that are not held out."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
@@ -120,7 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
     if not bad:
         return Model({}, None)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    chosen = counted.filter(F.col("bad") >= max(MIN_TOXIC_TEXTS, MIN_TOXIC_SHARE * bad)).withColumn("odds", odds).filter("odds > 0.7").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "word").limit(max_words).collect()
+    n, share = F.col("bad") + F.col("good"), bad / (bad + good)
+    ratio = F.col("bad") * F.log(F.col("bad") / (n * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0.0)
+    chosen = counted.filter("bad > 0").withColumn("odds", odds).filter((F.col("odds") > 0.7) & (2 * ratio > MIN_Z**2)).orderBy("word").collect()
     chosen = [(r["word"], r["odds"]) for r in chosen]
     at = {w: k for k, (w, _) in enumerate(chosen)}
 
