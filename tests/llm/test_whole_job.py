@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from weir.llm import toxicity
+from weir.llm import html_text, toxicity
 
 
 def test_toxicity_of_a_minority_language(spark):
@@ -18,3 +18,29 @@ def test_toxicity_of_a_minority_language(spark):
     model = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
     assert {toxicity.feature(b"vile"), toxicity.feature(b"bobo")} <= set(model.weights)
     assert model.score(b"La casa. Eres bobo.") > 0.5 > model.score(b"La casa. El agua.")
+
+
+def words(rng, n):
+    return " ".join(rng.choice("abcdefghij") + str(rng.randrange(10_000)) for _ in range(n))
+
+
+def pages_of(spark, bodies):
+    return spark.createDataFrame([(k, f"http://big.x/{k}", f"<body>{b}</body>") for k, b in bodies], "page_id long, url string, html string")
+
+
+def test_html_runs_of_a_large_host(spark):
+    """What two pages share is found wherever they stand on their host."""
+    rng = random.Random(4)
+    shared = [words(rng, 12) for _ in range(30)]
+    pages = pages_of(spark, [(k, f"<article>{words(rng, 10)}<p>{shared[k % 350] if k % 350 < 30 else words(rng, 12)}</p></article>") for k in range(700)])
+    got = {r.page_id: r.n_repeated for r in html_text.main_text(pages).collect()}
+    assert got == {k: 12 if k % 350 < 30 else 0 for k in range(700)}
+    assert {r.page_id: r.n_repeated for r in html_text.main_text(pages, chunk_chars=3000).collect()} == got
+
+
+def test_html_runs_match_the_suffix_array(spark):
+    rng = random.Random(5)
+    tokens = [[rng.choice("abc") for _ in range(rng.randint(1, 60))] for _ in range(40)] + [list("abcabcabcabc")] * 2
+    pages = pages_of(spark, [(k, f"<article>{' '.join(t)}</article>") for k, t in enumerate(tokens)])
+    want = {k: int(c.sum()) for k, c in enumerate(html_text.repeated_tokens(tokens, 5))}
+    assert {r.page_id: r.n_repeated for r in html_text.main_text(pages, run=5, chunk_chars=200).collect()} == want

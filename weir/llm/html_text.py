@@ -5,14 +5,18 @@ headers, footers, sidebars, forms, scripts, notices, adverts and comments (by
 tag, role, class or id) go; blocks inside an article or main element stay.
 The blocks left are undecided: pages without such an element consist of them.
 
-The pages of a host are taken together; a host of more than ``CHUNK_PAGES``
-is dealt into groups by a hash, each large enough to show what repeats. Their token streams are concatenated,
-and the suffixes sorted by their first ``RUN`` tokens (prefix doubling);
-neighbours in that order that agree and come from distinct pages are repeated
-runs. Of an undecided block the covered tokens are removed as boilerplate and
-the unique runs kept. Article blocks keep repeated runs too, since an article
-may stand under two addresses; ``n_repeated`` tells how many of the page's
-kept tokens are covered.
+The pages of a host are taken together, whatever its size. A run of ``RUN``
+tokens is repeated if it stands on distinct pages; ``repeated_tokens`` finds
+such runs of pages at hand in a suffix array sorted to that depth. Over a
+whole host the same groups of equal runs are counted by 64-bit hash: pages are
+packed into chunks, each sends the sorted hashes of its distinct runs by range
+of hashes, and gets back on how many pages each stands. The chunks change no
+result, and a run that all pages share is one entry a chunk.
+
+Of an undecided block the covered tokens are removed as boilerplate and the
+unique runs kept. Article blocks keep repeated runs too, since an article may
+stand under two addresses; ``n_repeated`` tells how many of the page's kept
+tokens are covered.
 
 Edge cases: a null or empty page, and one with nothing but boilerplate, gives
 an empty text; broken markup is read as browsers do (unclosed elements end
@@ -28,15 +32,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import WordHashes, cut, list_column, mix, read, release_shuffles, to_signed
 
-#: Tokens of a repeated run; pages and characters that are compared at a time.
-RUN, CHUNK_PAGES, CHUNK_CHARS = 8, 512, 16 << 20
-#: Large hosts up to which their sizes are broadcast.
-BROADCAST_HOSTS = 100_000
+#: Tokens of a repeated run.
+RUN = 8
+#: Characters of a chunk, and runs of a range of hashes; neither changes results.
+CHUNK_CHARS, RANGE_RUNS = 8 << 20, 1 << 20
+PACKED = "chunk long, ids array<long>, urls array<string>, hosts array<long>, keys array<long>, pages binary, n_tokens long"
 OUT = "page_id long, url string, text string, n_chars long, n_repeated long"
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>|<[!?][^<>]*>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
@@ -203,59 +209,182 @@ def unique_runs(tokens: list[str], covered: np.ndarray) -> str:
     return " ".join(t for t, c in zip(tokens, covered) if not c)
 
 
-def extract_chunk(pages: list[str], run: int = RUN) -> list[tuple[str, int]]:
-    """(text, kept tokens that are covered) of each page; the pages are of one host."""
-    cut = [blocks(p) if p else [] for p in pages]
-    tokens = [[b.split() for _, b in page] for page in cut]
-    covered = repeated_tokens([[t for b in page for t in b] for page in tokens], run)
-    out = []
-    for page, parts, cover in zip(cut, tokens, covered):
-        main = any(v == MAIN for v, _ in page)
-        kept, repeated, at = [], 0, 0
-        for (v, text), part in zip(page, parts):
-            c, at = cover[at : at + len(part)], at + len(part)
-            if v == MAIN:
-                kept.append(text)
-                repeated += int(c.sum())
-            elif v == OTHER and not main:
-                kept.append(unique_runs(part, c))
-        out.append(("\n\n".join(k for k in kept if k), repeated))
-    return out
+def squeeze(pages: list[str]) -> bytes:
+    """The packed pages of a chunk, compressed, with their length in front; texts hold no form feeds."""
+    raw = "\f".join(pages).encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """Per page: url, main text and its length in code points."""
+def unsqueeze(raw: bytes) -> list[str]:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\f")
+
+
+def split_page(page: str) -> list[tuple[int, str]]:
+    """The blocks of a packed page: a line for each, the verdict in front."""
+    return [(int(line[0]), line[1:]) for line in page.split("\n")] if page else []
+
+
+class Runs:
+    """The runs of a chunk's pages. starts: places in the stream of all tokens; page: of each start; names: sorted distinct hashes; at: the name of each start."""
+
+    def __init__(self, pages: list[list[str]], hosts: list[int], words: WordHashes, run: int):
+        length = np.array([len(p) for p in pages], dtype=np.int64)
+        self.end = np.cumsum(length)
+        stream = words.of([t.encode("utf-8", "surrogatepass") for p in pages for t in p])
+        page = np.repeat(np.arange(len(pages)), length)
+        self.starts = np.flatnonzero(np.arange(len(stream)) + run <= self.end[page]) if len(stream) else np.zeros(0, dtype=np.int64)
+        self.page, self.n, self.run = page[self.starts], len(stream), run
+        h = np.zeros(len(self.starts), dtype=np.uint64)
+        for k in range(run):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + mix(stream[self.starts + k])
+        h = mix(h ^ np.array(hosts, dtype=np.int64).view(np.uint64)[self.page])
+        self.order = np.lexsort((self.page, h))
+        s = h[self.order]
+        self.fresh = np.append(True, s[1:] != s[:-1])[: len(s)]
+        self.names = s[self.fresh]
+        self.at = np.empty(len(s), dtype=np.int64)
+        self.at[self.order] = np.cumsum(self.fresh) - 1
+
+    def counts(self, copies: set[int]) -> np.ndarray:
+        """For each name, its pages in this chunk without ``copies``."""
+        p = self.page[self.order]
+        new = self.fresh | np.append(True, p[1:] != p[:-1])[: len(p)]
+        if copies:
+            new &= ~np.isin(p, list(copies))
+        return np.bincount(np.cumsum(self.fresh) - 1, weights=new, minlength=len(self.names)).astype(np.int64)
+
+    def covered(self, hit: np.ndarray) -> list[np.ndarray]:
+        """For each page's tokens, whether they lie in a run that is ``hit`` (by start)."""
+        starts = self.starts[hit]
+        edge = np.bincount(starts, minlength=self.n + 1) - np.bincount(starts + self.run, minlength=self.n + 1)
+        return np.split(np.cumsum(edge)[: self.n] > 0, self.end[:-1])
+
+
+def range_bounds(names: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the 2 ** bits ranges begins in sorted hashes, and the end."""
+    return np.append(np.searchsorted(names, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(names))
+
+
+def planes(names: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, byte by byte and compressed: the upper bytes are nearly all zero."""
+    return pa.compress(np.diff(names, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def from_planes(raw: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
-    def extract(batches):
-        held, host, size = [], None, 0
+
+def add_up(group: pa.Table) -> pa.Table:
+    """Counts over all chunks for each chunk's runs of one range of hashes."""
+    counts = group.column("counts").to_pylist()
+    names = [from_planes(x, len(c)) for x, c in zip(group.column("names").to_pylist(), counts)]
+    counts = np.frombuffer(b"".join(counts), dtype=np.uint8)
+    _, at = np.unique(np.concatenate(names), return_inverse=True)
+    total = np.minimum(np.bincount(at, weights=counts), 255).astype(np.uint8)[at]
+    parts = np.split(total, np.cumsum([len(n) for n in names])[:-1])
+    return pa.table({"chunk": group.column("chunk"), "range": group.column("range"), "totals": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+
+def pack(pages: DataFrame, chunk_chars: int) -> DataFrame:
+    """A row for each chunk of pages: their ids, urls, hosts and streams (as hashes) and blocks."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held, size, n = [], 0, 0
 
         def done():
-            found = extract_chunk([h for _, _, h in held], run)
+            part = TaskContext.get().partitionId()
+            cut = [[f"{v}{t}" for v, t in blocks(h)] if h else [] for _, _, _, h in held]
+            hosts = [xxhash.xxh3_64_intdigest(host.encode()) for _, _, host, _ in held]
+            streams = [" ".join(x[1:] for x in c) for c in cut]
+            keys = [xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"), seed=h) for s, h in zip(streams, hosts)]
+            one = lambda x, kind: pa.array([x], pa.list_(kind))
             return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in held], pa.int64()), pa.array([u for _, u, _ in held], pa.string()), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())],
-                names=[c.split()[0] for c in OUT.split(", ")],
-            )
+                [pa.array([(part << 33) + n], pa.int64()), one([i for i, _, _, _ in held], pa.int64()), one([u for _, u, _, _ in held], pa.string()), list_column([to_signed(hosts)], pa.int64()), list_column([to_signed(keys)], pa.int64()),
+                 pa.array([squeeze(["\n".join(c) for c in cut])], pa.binary()), pa.array([sum(s.count(" ") + 1 for s in streams)], pa.int64())],
+                names=[c.split()[0] for c in PACKED.split(", ")],
+            )
 
         for b in batches:
-            for i, u, h, page in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), zip(b.column("host").to_pylist(), b.column("group").to_pylist()), b.column("html").to_pylist()):
-                if held and (h != host or len(held) >= CHUNK_PAGES or size >= CHUNK_CHARS):
+            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))):
+                held.append(row)
+                size += len(row[3] or "")
+                if size >= chunk_chars:
                     yield done()
-                    held, size = [], 0
-                host = h
-                held.append((i, u, page or ""))
-                size += len(page or "")
+                    held, size, n = [], 0, n + 1
         if held:
             yield done()
 
-    spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    # Hosts that are larger than a chunk are dealt into groups; they are few, and broadcast while their number is.
-    large = cut(rows.groupBy("host").count().filter(F.col("count") > CHUNK_PAGES).select("host", F.ceil(F.col("count") * 2 / CHUNK_PAGES).cast("int").alias("groups")), "large-hosts")
-    rows = rows.join(F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large, "host", "left")
-    rows = rows.withColumn("group", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(0)).cast("int"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.rdd.getNumPartitions())
-    return rows.drop("groups").repartition(parts, "host", "group").sortWithinPartitions("host", "group", "page_id", "url").mapInArrow(extract, OUT)
+    return cut(rows.mapInArrow(run, PACKED), "html-chunks", "zstd")
+
+
+def main_text(pages: DataFrame, run: int = RUN, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Per page: url, main text and its length in code points."""
+    spark = pages.sparkSession
+    chunks = pack(pages, chunk_chars)
+    bits = max(4, (int(chunks.agg(F.sum("n_tokens")).first()[0] or 0) // RANGE_RUNS).bit_length())
+
+    def tokens_of(page):
+        return [b.split() for _, b in split_page(page)]
+
+    def send(batches):
+        words = WordHashes()
+        for b in batches:
+            for chunk, hosts, texts, same in zip(*(b.column(c).to_pylist() for c in ("chunk", "hosts", "pages", "same"))):
+                words.trim()
+                texts = unsqueeze(texts)
+                runs = Runs([[t for part in tokens_of(p) for t in part] for p in texts], hosts, words, run)
+                counts = np.minimum(runs.counts({x["pos"] for x in same or () if x["extra"]}), 255).astype(np.uint8)
+                bound = range_bounds(runs.names, bits)
+                full = np.flatnonzero(np.diff(bound))
+                cells = [(runs.names[bound[k] : bound[k + 1]], counts[bound[k] : bound[k + 1]]) for k in full]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([planes(x) for x, _ in cells], pa.binary()), pa.array([c.tobytes() for _, c in cells], pa.binary())], names=["chunk", "range", "names", "counts"])
+
+    def extract(batches):
+        words = WordHashes()
+        for b in batches:
+            for ids, urls, hosts, texts, same, sizes, totals in zip(*(b.column(c).to_pylist() for c in ("ids", "urls", "hosts", "pages", "same", "sizes", "totals"))):
+                words.trim()
+                cut = [split_page(p) for p in unsqueeze(texts)]
+                tokens = [[t.split() for _, t in page] for page in cut]
+                runs = Runs([[t for part in page for t in part] for page in tokens], hosts, words, run)
+                total = np.frombuffer(b"".join(x["totals"] for x in sorted(totals or (), key=lambda x: x["range"])), dtype=np.uint8)[runs.at]
+                mirrored = np.zeros(len(ids), dtype=bool)
+                mirrored[[x["pos"] for x in same or ()]] = True
+                shared = runs.covered((total >= 2) | mirrored[runs.page])
+                out, repeated = [], []
+                for page, parts, cover in zip(cut, tokens, shared):
+                    main = any(v == MAIN for v, _ in page)
+                    kept, n, at = [], 0, 0
+                    for (v, text), part in zip(page, parts):
+                        here = slice(at, at := at + len(part))
+                        if v == MAIN:
+                            kept.append(text)
+                            n += int(cover[here].sum())
+                        elif v == OTHER and not main:
+                            kept.append(unique_runs(part, cover[here]))
+                    out.append("\n\n".join(k for k in kept if k))
+                    repeated.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(repeated, pa.int64())], names=[c.split()[0] for c in OUT.split(", ")])
+
+    # Pages of equal streams: the first of each group is counted, the others are extra.
+    keys = chunks.select("chunk", F.posexplode(F.arrays_zip("hosts", "keys")).alias("pos", "x")).select("chunk", "pos", F.col("x.hosts").alias("host"), F.col("x.keys").alias("key"))
+    streams = cut(keys.groupBy("host", "key").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "pos")).alias("first")), "html-streams")
+    here = F.struct("chunk", "pos")
+    groups = cut(streams.filter("n > 1").select("host", "key", "first"), "html-copies")
+    same = cut(keys.join(groups, ["host", "key"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", (here != F.col("first")).alias("extra"))).alias("same")), "html-same")
+    sizes = keys.select("chunk", "host").distinct().join(streams.groupBy("host").agg(F.count("*").alias("n")), "host").groupBy("chunk").agg(F.collect_list(F.struct("host", "n")).alias("sizes"))
+    sent = chunks.select("chunk", "hosts", "pages").join(same, "chunk", "left").mapInArrow(send, "chunk long, range int, names binary, counts binary")
+    totals = cut(sent.groupBy("range").applyInArrow(add_up, "chunk long, range int, totals binary"), "html-totals", "zstd")
+    release_shuffles(spark)
+    side = totals.groupBy("chunk").agg(F.collect_list(F.struct("range", "totals")).alias("totals"))
+    side = cut(sizes.join(side, "chunk", "left").join(same, "chunk", "left"), "html-side", "zstd")
+    release_shuffles(spark)
+    return chunks.drop("keys", "n_tokens").join(side, "chunk").mapInArrow(extract, OUT)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
