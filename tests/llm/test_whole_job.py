@@ -44,3 +44,21 @@ def test_html_runs_match_the_suffix_array(spark):
     pages = pages_of(spark, [(k, f"<article>{' '.join(t)}</article>") for k, t in enumerate(tokens)])
     want = {k: int(c.sum()) for k, c in enumerate(html_text.repeated_tokens(tokens, 5))}
     assert {r.page_id: r.n_repeated for r in html_text.main_text(pages, run=5, chunk_chars=200).collect()} == want
+
+def test_html_mirrors_and_quotations(spark):
+    """Without an article element, text that few pages share is no boilerplate; what many share, at a block's edge, is."""
+    rng = random.Random(6)
+    story, quote, notice, every = words(rng, 60), words(rng, 10), words(rng, 12), words(rng, 9)
+    texts = {k: words(rng, 30) for k in range(40)}
+    bodies = {k: f"<p>{t}</p>" for k, t in texts.items()}
+    bodies[0] = bodies[1] = f"<p>{story}</p>"  # two addresses
+    bodies[2] = f"<p>{story}</p><p>print</p>"  # a print version
+    for k in (3, 4):
+        bodies[k] = f"<p>{texts[k]} {quote} {texts[k]}</p>"
+    for k in range(10, 20):
+        bodies[k] = f"<p>{notice}</p><p>{texts[k]} {every} x{k} {texts[k]}</p>"
+    rows = [*bodies.items(), (30, bodies[30])]  # and a repeated row
+    want = {k: texts[k] for k in texts} | {0: story, 1: story, 2: f"{story}\n\nprint"} | {k: f"{texts[k]} {quote} {texts[k]}" for k in (3, 4)} | {k: f"{texts[k]} {every} x{k} {texts[k]}" for k in range(10, 20)}
+    for size in (html_text.CHUNK_CHARS, 500):
+        got = html_text.main_text(pages_of(spark, rows), chunk_chars=size).collect()
+        assert len(got) == 41 and {r.page_id: r.text for r in got} == want

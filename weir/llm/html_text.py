@@ -13,10 +13,12 @@ packed into chunks, each sends the sorted hashes of its distinct runs by range
 of hashes, and gets back on how many pages each stands. The chunks change no
 result, and a run that all pages share is one entry a chunk.
 
-Of an undecided block the covered tokens are removed as boilerplate and the
-unique runs kept. Article blocks keep repeated runs too, since an article may
-stand under two addresses; ``n_repeated`` tells how many of the page's kept
-tokens are covered.
+Pages of equal tokens count as one there, so a mirror makes nothing repeated.
+An undecided block loses the tokens of runs that stand on many pages of the
+host (``needed``), where they begin or end the block; repeated runs within it
+stay, as a quotation does. Article blocks keep repeated runs too, since an
+article may stand under two addresses; ``n_repeated`` tells how many of their
+tokens lie in runs that another page holds.
 
 Edge cases: a null or empty page, and one with nothing but boilerplate, gives
 an empty text; broken markup is read as browsers do (unclosed elements end
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, list_column, mix, read, release_shuffles, to_signed
 
-#: Tokens of a repeated run.
-RUN = 8
+#: Tokens of a repeated run, and distinct pages of a host (at most) that make it boilerplate.
+RUN, BOILER_PAGES = 8, 10
 #: Characters of a chunk, and runs of a range of hashes; neither changes results.
 CHUNK_CHARS, RANGE_RUNS = 8 << 20, 1 << 20
 PACKED = "chunk long, ids array<long>, urls array<string>, hosts array<long>, keys array<long>, pages binary, n_tokens long"
@@ -205,8 +207,15 @@ def repeated_tokens(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return [covered[e - k - 1 : e - 1] for e, k in zip(end, length)]
 
 
-def unique_runs(tokens: list[str], covered: np.ndarray) -> str:
-    return " ".join(t for t, c in zip(tokens, covered) if not c)
+def needed(pages: int) -> int:
+    """Pages a run must stand on to be boilerplate, of a host with so many distinct ones: half of them, at least 2, at most ``BOILER_PAGES``."""
+    return max(2, min(BOILER_PAGES, (pages + 1) // 2))
+
+
+def unique_part(tokens: list[str], covered: np.ndarray) -> str:
+    """The tokens without the covered runs that begin or end the block."""
+    own = np.flatnonzero(~covered)
+    return " ".join(tokens[own[0] : own[-1] + 1]) if len(own) else ""
 
 
 def squeeze(pages: list[str]) -> bytes:
@@ -353,20 +362,22 @@ def main_text(pages: DataFrame, run: int = RUN, chunk_chars: int = CHUNK_CHARS)
                 tokens = [[t.split() for _, t in page] for page in cut]
                 runs = Runs([[t for part in page for t in part] for page in tokens], hosts, words, run)
                 total = np.frombuffer(b"".join(x["totals"] for x in sorted(totals or (), key=lambda x: x["range"])), dtype=np.uint8)[runs.at]
+                need = {x["host"]: needed(x["n"]) for x in sizes}
                 mirrored = np.zeros(len(ids), dtype=bool)
                 mirrored[[x["pos"] for x in same or ()]] = True
+                boiler = runs.covered(total >= np.array([need[h] for h in hosts])[runs.page])
                 shared = runs.covered((total >= 2) | mirrored[runs.page])
                 out, repeated = [], []
-                for page, parts, cover in zip(cut, tokens, shared):
+                for page, parts, cover, twice in zip(cut, tokens, boiler, shared):
                     main = any(v == MAIN for v, _ in page)
                     kept, n, at = [], 0, 0
                     for (v, text), part in zip(page, parts):
                         here = slice(at, at := at + len(part))
                         if v == MAIN:
                             kept.append(text)
-                            n += int(cover[here].sum())
+                            n += int(twice[here].sum())
                         elif v == OTHER and not main:
-                            kept.append(unique_runs(part, cover[here]))
+                            kept.append(unique_part(part, cover[here]))
                     out.append("\n\n".join(k for k in kept if k))
                     repeated.append(n)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(repeated, pa.int64())], names=[c.split()[0] for c in OUT.split(", ")])
