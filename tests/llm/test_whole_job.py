@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from weir.llm import html_text, toxicity
+from weir.llm import html_text, quality, toxicity
 
 
 def test_toxicity_of_a_minority_language(spark):
@@ -62,3 +62,15 @@ def test_html_mirrors_and_quotations(spark):
     for size in (html_text.CHUNK_CHARS, 500):
         got = html_text.main_text(pages_of(spark, rows), chunk_chars=size).collect()
         assert len(got) == 41 and {r.page_id: r.text for r in got} == want
+
+
+def test_quality_counts_copies(spark):
+    """Copies are documents of their own in a line's count; rows of one document are not."""
+    rng = random.Random(8)
+    copy, twice, few = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(k, copy, "h") for k in range(21)] + [(100, twice, "h")] * 30 + [(k, few, "h") for k in range(200, 220)] + [(None, words(rng, 60), "h")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), max_texts_per_line=20).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got if r.kept} == {None, 100, *range(200, 220)}
+    assert {r.n_frequent_words for r in got if r.doc_id is not None and r.doc_id < 21} == {60}
+    alone = spark.createDataFrame([(None, copy, "h")] * 21, "doc_id long, text string, source string")
+    assert not any(r.kept for r in quality.quality_rules(alone).collect())

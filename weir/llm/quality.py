@@ -2,9 +2,9 @@
 
 One Arrow pass measures every text and hashes its normalised lines (lower
 case, single spaces) together with the host (``source``). A line is frequent
-when more than ``max_texts_per_line`` distinct texts of one host hold it;
-copies of one text count once, since copies are the deduplication operators'
-business. Frequent lines are removed, and a document that loses more than
+when more than ``max_texts_per_line`` distinct documents of one host hold it,
+copies of one text included: rows of one doc_id count once, each row without
+one counts. Frequent lines are removed, and a document that loses more than
 ``max_removed`` of its words is depleted and rejected.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null
@@ -27,7 +27,7 @@ from .common import cut, docs_view, drop, list_column, mix, read, release_shuffl
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-PROFILE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_key long, line_keys array<long>, line_words array<int>"
+PROFILE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_keys array<long>, line_words array<int>"
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -69,14 +69,14 @@ def line_stats(host: bytes, text: str) -> tuple[int, list[int], list[int]]:
 def profile(batches):
     for b in batches:
         ids, texts, hosts = b.column("doc_id"), b.column("text").to_pylist(), b.column("host").to_pylist()
-        num = np.zeros((6, len(texts)), dtype=np.int64)
+        num = np.zeros((5, len(texts)), dtype=np.int64)
         keys, counts = [], []
         for i, (t, host) in enumerate(zip(texts, hosts)):
             t = t or ""
             raw = t.encode("utf-8", "surrogatepass")
             words = raw.split()
             dup, k, c = line_stats(b"\1" if host is None else b"\2" + host.encode(), t)
-            num[:, i] = (len(words), len(t) - sum(map(t.count, SPACES)), sum(map(t.count, SYMBOLS)), dup, repeat_words(words), to_signed([xxhash.xxh3_64_intdigest(raw)])[0])
+            num[:, i] = (len(words), len(t) - sum(map(t.count, SPACES)), sum(map(t.count, SYMBOLS)), dup, repeat_words(words))
             keys.append(to_signed(k))
             counts.append(np.array(c, dtype=np.int32))
         yield pa.RecordBatch.from_arrays([ids, *map(pa.array, num), list_column(keys, pa.int64()), list_column(counts, pa.int32())], names=[c.split()[0] for c in PROFILE.split(", ")])
@@ -87,8 +87,8 @@ def quality_rules(docs: DataFrame, host: str = "source", max_texts_per_line: int
     spark = docs.sparkSession
     rows = docs_view(docs, F.col(host).cast("string").alias("host")).mapInArrow(profile, PROFILE)
     rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()), "quality-profile")
-    # Distinct (line, text) pairs are combined before each exchange, so a line that a third of all texts share is a few rows.
-    lines = rows.select("text_key", F.explode("line_keys").alias("key")).distinct()
+    # Distinct (line, document) pairs, then counts combined before their exchange: a line that a third of all documents share is a few rows there.
+    lines = rows.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("uid")).alias("row"), F.explode("line_keys").alias("key")).distinct()
     frequent = lines.groupBy("key").count().filter(F.col("count") > max_texts_per_line).select("key")
     removed = (
         rows.select("uid", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l"))
@@ -97,7 +97,7 @@ def quality_rules(docs: DataFrame, host: str = "source", max_texts_per_line: int
         .groupBy("uid")
         .agg(F.sum("words").cast("long").alias("n_frequent_words"))
     )
-    out = rows.drop("line_keys", "line_words", "text_key").join(removed, "uid", "left").fillna(0, ["n_frequent_words"])
+    out = rows.drop("line_keys", "line_words").join(removed, "uid", "left").fillna(0, ["n_frequent_words"])
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     depleted = (F.col("n_frequent_words") > max_removed * F.col("n_words")) & (F.col("n_words") > 0)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_frequent_words", depleted.alias("depleted"))
