@@ -1,7 +1,7 @@
 """A training-corpus pipeline: five stages over ``documents``, each one an operator of ``weir.llm``.
 
 Every stage gets the documents its predecessor kept and returns documents
-again, but for the last, which returns token ids. Between stages the rows are
+again, but for the last, which returns token ids, decoded once to check them. Between stages the rows are
 written and read again, so a stage can be repeated alone.
 """
 
@@ -42,8 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
-    return piece_lattice.encode_documents(docs, public_tokenizers.path(MODEL)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Piece ids of every document, and whether decoding them gives its text back."""
+    return piece_lattice.encode_and_decode(docs, public_tokenizers.path(MODEL)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

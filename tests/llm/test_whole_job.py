@@ -3,9 +3,8 @@
 import random
 import zlib
 
-from pyspark.sql import functions as F
-
-from weir.llm import html_text, quality, toxicity
+import corpus_pipeline
+from weir.llm import html_text, piece_lattice, quality, toxicity
 
 
 def test_toxicity_of_a_minority_language(spark):
@@ -74,3 +73,12 @@ def test_quality_counts_copies(spark):
     assert {r.n_frequent_words for r in got if r.doc_id is not None and r.doc_id < 21} == {60}
     alone = spark.createDataFrame([(None, copy, "h")] * 21, "doc_id long, text string, source string")
     assert not any(r.kept for r in quality.quality_rules(alone).collect())
+
+
+def test_pipeline_decodes(spark):
+    """The last stage decodes what it encodes."""
+    texts = {1: "Hello  world\n\nfoo", 2: " lead", 3: "é" * 70, 4: "", 5: None, 6: "a ▁b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = corpus_pipeline.encode(spark, docs, "")
+    assert {r.doc_id: (r.n_tokens > 0, r.round_trip) for r in out.collect()} == {k: (bool(t), True) for k, t in texts.items()}
+    assert not piece_lattice.same_text([], "lost", [])

@@ -444,6 +444,24 @@ def decode_documents(rows: DataFrame, model: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def same_text(ids: list[int], text: str | None, table: list[bytes]) -> bool:
+    """Whether decoding gives the text back."""
+    return decode(ids, table) == (text or "").encode("utf-8", "surrogatepass").replace(MARK.encode(), b" ")
+
+
+def encode_and_decode(docs: DataFrame, model: str, head: int = HEAD) -> DataFrame:
+    """(doc_id, ids, round_trip) of every row: whether decoding the ids gives the text back."""
+    pieces = load(model)
+    table = pieces.table
+
+    def each(b, ids):
+        ids = [np.frombuffer(x, dtype=pieces.type) for x in ids]
+        same = [same_text(x.tolist(), t, table) for x, t in zip(ids, b.column("text").to_pylist())]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), list_column(ids, pa.int32()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+
+    return encode(docs, model, "doc_id long, ids array<int>, round_trip boolean", each, head)
+
+
 def piece_digests(docs: DataFrame, model: str, head: int = HEAD) -> DataFrame:
     """Per row: the number of pieces, the crc32 of the ids as little-endian unsigned 32-bit integers, and whether decoding gives the text back."""
     pieces = load(model)
