@@ -13,21 +13,25 @@ Sketching", 2017.)
 ``BANDS`` bands of ``T / BANDS`` coordinates make buckets: a pair of
 similarity 0.8 shares none with a chance below 1e-7. Only then come full sets:
 
-1. texts with one set collapse to a class, named by its smallest doc_id;
-2. each bucket links its members to one centre (by a fixed random order, so
-   that buckets of one group agree on it); the distinct pairs are confirmed on
-   full sets and joined to components;
-3. buckets whose members still lie in several components are compared member
-   by member, in blocks of bounded size, but for pairs in one component or
-   too far apart by size or by shingles that no other member has.
-
-No pair of a group is emitted unless it is a link or a centre's.
+1. texts with one set collapse to a class;
+2. each bucket takes as its centre the member whose buckets hold the most
+   others (in a group of copies of one text, that text or what is closest to
+   it), and every member is compared with it on full sets: links, and what
+   each member shares with the centre. Buckets of one centre are one group;
+3. what a member shares with its centre bounds what it can share with any
+   other member, so in groups that still hold several components only members
+   that meet outside the centre's set (``candidates``) can be linked. Such
+   members form lists by the rare shingles they share; short lists are compared
+   member by member, long ones become groups with centres of their own, until
+   none is left.
+
+No step forms all pairs of a group, and none drops a pair that could be linked.
 
 Edge cases: without words or text the set is empty and links with nothing
 (component_id = doc_id); fewer words than a shingle make one shingle; a null
 doc_id links with nothing (component_id null, kept); rows repeating a doc_id
-each get a row, all alike; an empty table gives an empty result; other columns
-are not read. Texts are taken whole.
+each get a row, by their own text; an empty table gives an empty result; other
+columns are not read. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -35,15 +39,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, docs_view, drop, list_column, mix, read, release_shuffles
 from .graph import components
 
-#: Coordinates of a sketch, bands, members of a block that are compared with each other.
-T, BANDS, BLOCK = 128, 32, 256
-SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+#: Coordinates of a sketch, bands, members of a list that are compared with each other (twice as many in each later round, so rounds end).
+T, BANDS, SHORT = 128, 32, 64
+SKETCH = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
+SHARED = "c binary, x binary, n long, n_c long, both long, rest array<long>"
 ROUND_SEEDS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -92,130 +97,176 @@ def sketches(size: int):
         for b in batches:
             sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), list_column([band_keys(s).view(np.int64) if len(s) else none for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), list_column([band_keys(s).view(np.int64) if len(s) else none for s in sets], pa.int64())],
+                names=[c.split()[0] for c in SKETCH.split(", ")],
             )
 
     return run
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+def set_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint64)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def held_in(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which elements of x the sorted, non-empty set c holds."""
+    return c[np.minimum(np.searchsorted(c, x), len(c) - 1)] == x
+
+
+def full_sets(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(key, n, elems) of the classes, from the text of one document of each."""
 
     def run(batches):
-        words, held = WordHashes(), {}
+        words = WordHashes()
+        for b in batches:
+            sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "n", "elems"])
 
-        def of(i, t):
-            if i not in held:
-                if len(held) >= 64:
-                    held.clear()
-                held[i] = shingles(t, size, words)
-            return held[i]
+    one = texts.join(classes.select("doc_id", "text_key", "key"), ["doc_id", "text_key"]).dropDuplicates(["key"])
+    return cut(one.select("key", "text").mapInArrow(run, "key binary, n long, elems binary"), "near-sets")
 
-        for x in batches:
-            a, b = x.column("a").to_pylist(), x.column("b").to_pylist()
-            ok = [linked(of(i, s), of(j, t), percent) for i, s, j, t in zip(a, x.column("text_a").to_pylist(), b, x.column("text_b").to_pylist())]
-            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+def shared(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each member x of centre c: sizes, elements in common, and the elements of x that c lacks."""
 
+    def run(batches):
+        for b in batches:
+            n, both, rest = [], [], []
+            for x, c in zip(b.column("elems").to_pylist(), b.column("elems_c").to_pylist()):
+                x = set_of(x)
+                hit = held_in(x, set_of(c))
+                n.append((len(x), len(c) >> 3))
+                both.append(int(hit.sum()))
+                rest.append(x[~hit].view(np.int64))
+            size = np.array(n, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("x"), pa.array(size[:, 0]), pa.array(size[:, 1]), pa.array(both, pa.int64()), list_column(rest, pa.int64())], names=[c.split()[0] for c in SHARED.split(", ")])
 
-def compare_block(size: int, percent: int):
-    """Links between members of a block that lie in different components; as many as join them."""
+    pairs = groups.join(sets.select(F.col("key").alias("x"), "elems"), "x").join(sets.select(F.col("key").alias("c"), F.col("elems").alias("elems_c")), "c")
+    return cut(pairs.select("c", "x", "elems", "elems_c").mapInArrow(run, SHARED), "near-shared")
 
-    def run(table: pa.Table) -> pa.Table:
-        words = WordHashes()
-        ids, comps, side = (table.column(c).to_pylist() for c in ("rep", "component", "side"))
-        sets = [shingles(t, size, words) for t in table.column("text").to_pylist()]
-        flat = np.sort(np.concatenate(sets))
-        alone = np.ones(len(flat), dtype=bool)
-        alone[1:] &= flat[1:] != flat[:-1]
-        alone[:-1] &= flat[1:] != flat[:-1]
-        only = flat[alone]
-        # A member can meet another in no more than the shingles it doesn't hold alone.
-        able = [k for k, s in enumerate(sets) if 100 * (len(s) - int(np.isin(s, only, assume_unique=True).sum())) >= percent * len(s)]
-        able.sort(key=lambda k: len(sets[k]))
-        held = {k: set(sets[k].tolist()) for k in able}
-        top = {c: c for c in comps}
-
-        def root(c):
-            while top[c] != c:
-                top[c] = c = top[top[c]]
-            return c
-
-        cross = len(set(side)) > 1  # two blocks: pairs inside either are another task's
-        out = []
-        for x, k in enumerate(able):
-            n, mine = len(held[k]), held[k]
-            for m in able[x + 1 :]:
-                other = len(held[m])
-                if 100 * n < percent * other:
-                    break
-                if cross and side[k] == side[m]:
-                    continue
-                p, q = root(comps[k]), root(comps[m])
-                if p == q:
-                    continue
-                both = len(mine & held[m])
-                if 100 * both >= percent * (n + other - both):
-                    top[p] = q
-                    out.append((ids[k], ids[m]))
-        return pa.table([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
 
-    return run
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
 
+    def run(batches):
+        for x in batches:
+            ok = []
+            for s, t in zip(x.column("s").to_pylist(), x.column("t").to_pylist()):
+                s, t = set_of(s), set_of(t)
+                ok.append((100 + percent) * int(held_in(s, t).sum()) >= percent * (len(s) + len(t)))
+            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: n_shingles, the component and whether the row's document stays."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elems").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("elems").alias("t")), "b")
+    return cut(both.mapInArrow(run, "a binary, b binary"), "near-links")
+
+
+def least_common(n, m, percent: int):
+    """The fewest common elements of linked sets of n and m elements."""
+    return F.ceil(percent * (n + m) / F.lit(100 + percent) - 1e-9)
+
+
+def candidates(shared: DataFrame, found: DataFrame, percent: int, short: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare, and lists (c, s, x) too long for that: together all pairs of a group that could be linked and are not yet joined.
+
+    Two members x and y of centre c have at most min(both_x, both_y) elements
+    in common inside c. The least size in the group gives the fewest elements
+    x must have in common with any partner, and thus how many (``miss``) must
+    lie outside c. Under one order of elements, rare ones first, the first
+    |rest| - miss + 1 of what lies outside must then meet (prefix filter).
+    Pairs that need nothing outside c are found by size classes (``border``).
+    """
+    of = found.select(F.col("node").alias("x"), "component")
+    rows = shared.join(of, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    mixed = rows.groupBy("c").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).filter("lo < hi").select("c", "least")
+    need = least_common(F.col("n"), F.greatest("least", F.ceil(percent * F.col("n") / F.lit(100) - 1e-9)), percent)
+    rows = cut(rows.join(mixed, "c").withColumn("miss", need - F.col("both")), "near-mixed")
+    outside = rows.select("c", "x", "n", "component", (F.size("rest") - F.greatest("miss", F.lit(1)) + 1).alias("first"), F.explode("rest").alias("s")).filter("first > 0")
+    often = outside.groupBy("c", "s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    place = F.row_number().over(Window.partitionBy("c", "x").orderBy("df", "s"))
+    keys = outside.join(cut(often, "near-often"), ["c", "s"]).withColumn("place", place).filter("place <= first and lo < hi").select("c", "s", "x", "n", "component")
+    keys = cut(keys, "near-keys")
+    lists = keys.groupBy("c", "s").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    keys = keys.join(cut(lists.select("c", "s", "members"), "near-lists"), ["c", "s"])
+    left, right = (keys.filter(F.col("members") <= short).select("c", "s", *[F.col(k).alias(f"{k}_{side}") for k in ("x", "n", "component")]) for side in "ab")
+    close = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and component_a <> component_b"
+    pairs = left.join(right, ["c", "s"]).filter("x_a < x_b").filter(close).select(F.col("x_a").alias("a"), F.col("x_b").alias("b"))
+    # The larger of two border members, or the one alone if c's component holds the other, lies outside c's component.
+    step = F.log(F.lit(1.02))
+    border = rows.filter("miss <= 0").select("c", "x", "n", "both", "component", ((100 + percent) * F.col("both") < percent * (F.col("n") + F.col("n_c"))).alias("open"))
+    border = border.withColumn("level", F.floor(F.log("n") / step).cast("int"))
+    top = F.floor((100 + percent) * F.col("both") / F.lit(percent) - F.col("n") + 1e-9)
+    low = F.greatest(F.lit(1), F.floor(percent * F.col("n") / F.lit(100)))
+    some = border.filter(F.col("open") & (top >= low)).select("c", F.col("x").alias("x_a"), F.col("n").alias("n_a"), F.col("both").alias("both_a"), F.col("component").alias("component_a"), F.explode(F.sequence(F.floor(F.log(low) / step).cast("int"), F.floor(F.log(top) / step).cast("int"))).alias("level"))
+    others = border.select("c", "level", *[F.col(k).alias(f"{k}_b") for k in ("x", "n", "both", "component")])
+    met = some.join(others, ["c", "level"]).filter(close).filter(f"{100 + percent} * least(both_a, both_b) >= {percent} * (n_a + n_b)")
+    pairs = pairs.union(met.select(F.least("x_a", "x_b"), F.greatest("x_a", "x_b"))).distinct()
+    return cut(pairs, "near-pairs"), cut(keys.filter(F.col("members") > short).select("c", "s", "x"), "near-long")
+
+
+def by_centre(members: DataFrame, name: list[str]) -> DataFrame:
+    """(c, x): the members of lists (named by columns ``name``, with their count ``members``), each with the list's centre, the member with the most company in all lists."""
+    company = members.groupBy("x").agg(F.sum("members").alias("company"))
+    centre = members.join(company, "x").groupBy(*name).agg(F.max_by("x", F.struct("company", "x")).alias("c"))
+    centre = cut(centre, "near-centres")
+    return members.join(centre, name).filter("x <> c").select("c", "x").distinct()
+
+
+def links_between(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join every two linked classes that share a group, directly or through others."""
+    links, short = None, SHORT
+    while True:
+        with_centre = shared(groups, sets)
+        near = with_centre.filter(f"{100 + percent} * both >= {percent} * (n + n_c)").select(F.col("c").alias("a"), F.col("x").alias("b"))
+        links = near if links is None else links.union(near)
+        pairs, long = candidates(with_centre, components(links), percent, short)
+        release_shuffles(sets.sparkSession)
+        links = links.union(confirm(pairs, sets, percent))
+        if not long.take(1):
+            return links
+        sizes = cut(long.groupBy("c", "s").agg(F.count("*").alias("members")), "near-sizes")
+        renamed = long.join(sizes, ["c", "s"]).select(F.col("c").alias("of"), "s", "x", "members")
+        groups, short = cut(by_centre(renamed, ["of", "s"]), "near-groups"), 2 * short
+
+
+def labelled(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, text_key, n_shingles, the component's key (null without one) and component_id."""
     spark = docs.sparkSession
-    texts = docs_view(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = docs_view(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     rows = cut(texts.mapInArrow(sketches(size), SKETCH), "near-rows")
-    classes = cut(rows.filter("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
-    members = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rep").alias("o"), "rep")).alias("c"), F.bit_xor(F.xxhash64("rep")).alias("content")).filter("members > 1")
-    buckets = cut(buckets.select("band", "members", "content", F.col("c.rep").alias("centre")), "near-buckets")
-    release_shuffles(spark)
+    classes = rows.filter("doc_id is not null and n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("key", "one.doc_id", "one.text_key", "bands"), "near-classes")
+    members = classes.select(F.col("key").alias("x"), F.explode("bands").alias("band"))
+    buckets = cut(members.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "near-buckets")
     members = cut(members.join(buckets, "band"), "near-members")
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(texts.join(involved, "doc_id").dropDuplicates(["doc_id"]), "near-texts")
     release_shuffles(spark)
-    pairs = members.filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    links = cut(confirm(pairs, texts, size, percent), "near-links")
+    involved = classes.join(members.select(F.col("x").alias("key")).distinct(), "key", "left_semi")
+    sets = full_sets(texts, involved, size)
+    groups = cut(by_centre(members, ["band"]), "near-groups")
     release_shuffles(spark)
-    found = components(links)
-    found = found.withColumnRenamed("node", "rep")
-    # Buckets of two have been compared; buckets with the same members need it once.
-    open_ = members.filter("members > 2").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("members").alias("members"), F.first("content").alias("content"))
-    mixed = mixed.filter("lo < hi").groupBy("members", "content").agg(F.min("band").alias("band"))
-    n = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = open_.join(mixed.select("band"), "band", "left_semi").withColumn("n", n).withColumn("side", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n")).cast("int"))
-    block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("band", "rep", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    block = block.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    more = cut(block.groupBy("band", "i", "j").applyInArrow(compare_block(size, percent), "a long, b long"), "near-more")
+    found = components(links_between(groups, sets, percent))
+    found = classes.select("key", "doc_id").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    found = cut(found.select("key", "component", "doc_id"), "near-found")
+    names = cut(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-names")
+    named = cut(found.join(names, "component").select(F.col("key").alias("set_key"), "component", "component_id"), "near-named")
     release_shuffles(spark)
-    if more.take(1):
-        found = components(links.union(more)).withColumnRenamed("node", "rep")
-    drop(members, buckets, texts)
-    named = rows.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").join(found, "rep", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep")))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    drop(members, buckets, sets, groups, found, names)
+    alone = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id"))
+    linked = rows.filter("doc_id is not null and n_shingles > 0").select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key")
+    return linked.select("doc_id", "text_key", "n_shingles", "component", "component_id").union(alone)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: n_shingles, the component and whether the row's document stays."""
+    return labelled(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest doc_id of each group, once; rows with a null doc_id stay."""
-    kept = near_duplicates(docs, size, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__weir_id")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["__weir_id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group, with its smallest doc_id; of rows without words one for each doc_id; all rows with a null doc_id."""
+    one = labelled(docs, size, percent).filter("doc_id is not null").groupBy(F.coalesce(F.hex("component"), F.col("component_id").cast("string"))).agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+    chosen = cut(one.select(F.col("one.doc_id").alias("__weir_id"), F.col("one.text_key").alias("__weir_key")), "near-chosen")
+    rows = docs.withColumn("__weir_text", F.xxhash64(F.col("text").cast("string")))
+    kept = rows.join(chosen, (F.col("doc_id").cast("long") == F.col("__weir_id")) & (F.col("__weir_text") == F.col("__weir_key")), "left_semi").dropDuplicates(["doc_id", "__weir_text"])
+    return kept.drop("__weir_text").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
