@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
+
 from weir.llm import near_duplicates
 from weir.llm.common import WordHashes
 
@@ -37,8 +39,10 @@ def edited(rng, words, n, names):
     return out
 
 
-def test_groups_of_near_copies_lose_no_link(spark):
+@pytest.mark.parametrize("group", [near_duplicates.GROUP, 20])
+def test_groups_of_near_copies_lose_no_link(spark, monkeypatch, group):
     """Copies of a text around the limit, chains of copies, and texts of common shingles."""
+    monkeypatch.setattr(near_duplicates, "GROUP", group)
     rng = random.Random(11)
     names = [f"w{k}" for k in range(400)]
     base = [f"b{k}" for k in range(120)]
@@ -58,6 +62,7 @@ def test_groups_of_near_copies_lose_no_link(spark):
 def test_long_lists_become_groups(spark, monkeypatch):
     """Lists above the limit go through further rounds with centres of their own."""
     monkeypatch.setattr(near_duplicates, "SHORT", 16)
+    monkeypatch.setattr(near_duplicates, "GROUP", 0)
     rng = random.Random(12)
     base = [f"b{k}" for k in range(80)]
     texts = {k: " ".join(edited(rng, base, rng.randint(2, 7), ["x", "y"])) for k in range(200)}

@@ -6,6 +6,7 @@ driver and executors share, so a lost executor never takes results with it.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -71,6 +72,18 @@ def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """While tables are written inside, workers get at most so many rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(was), rows) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def to_signed(values) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 

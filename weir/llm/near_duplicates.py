@@ -42,13 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, docs_view, drop, list_column, mix, read, release_shuffles
+from .common import WordHashes, batches_of, cut, docs_view, drop, list_column, mix, read, release_shuffles
 from .graph import components
 
 #: Coordinates of a sketch, bands, members of a list that are compared with each other (twice as many in each later round, so rounds end).
 T, BANDS, SHORT = 128, 32, 64
 SKETCH = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
-SHARED = "c binary, x binary, n long, n_c long, both long, rest array<long>"
+SHARED = "c long, x long, n long, n_c long, both long, rest array<long>"
+#: Groups up to so many members and elements outside the centre are searched by one task; larger ones by joins. The outcome is the same.
+GROUP, VOLUME = 400, 1 << 20
 ROUND_SEEDS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -123,7 +125,8 @@ def full_sets(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "n", "elems"])
 
     one = texts.join(classes.select("doc_id", "text_key", "key"), ["doc_id", "text_key"]).dropDuplicates(["key"])
-    return cut(one.select("key", "text").mapInArrow(run, "key binary, n long, elems binary"), "near-sets")
+    with batches_of(texts.sparkSession, 1_000):
+        return cut(one.select("key", "text").mapInArrow(run, "key long, n long, elems binary"), "near-sets")
 
 
 def shared(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,7 +145,8 @@ def shared(groups: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("c"), b.column("x"), pa.array(size[:, 0]), pa.array(size[:, 1]), pa.array(both, pa.int64()), list_column(rest, pa.int64())], names=[c.split()[0] for c in SHARED.split(", ")])
 
     pairs = groups.join(sets.select(F.col("key").alias("x"), "elems"), "x").join(sets.select(F.col("key").alias("c"), F.col("elems").alias("elems_c")), "c")
-    return cut(pairs.select("c", "x", "elems", "elems_c").mapInArrow(run, SHARED), "near-shared")
+    with batches_of(sets.sparkSession, 500):
+        return cut(pairs.select("c", "x", "elems", "elems_c").mapInArrow(run, SHARED), "near-shared")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,7 +161,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elems").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("elems").alias("t")), "b")
-    return cut(both.mapInArrow(run, "a binary, b binary"), "near-links")
+    return cut(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
 def least_common(n, m, percent: int):
@@ -165,41 +169,80 @@ def least_common(n, m, percent: int):
     return F.ceil(percent * (n + m) / F.lit(100 + percent) - 1e-9)
 
 
+def open_pairs(percent: int):
+    """Pairs of one group's members that could be linked and are not yet joined, from the exact counts of what they share outside the centre."""
+
+    def run(group: pa.Table) -> pa.Table:
+        x, component, n, both = (group.column(c).to_numpy() for c in ("x", "component", "n", "both"))
+        rest = group.column("rest").combine_chunks()
+        flat, m = rest.flatten().to_numpy(), len(x)
+        who = np.repeat(np.arange(m), np.diff(rest.offsets.to_numpy()))
+        _, at, df = np.unique(flat, return_inverse=True, return_counts=True)
+        some = df[at] > 1
+        who, (_, at) = who[some], np.unique(at[some], return_inverse=True)
+        met = np.zeros((m, m), dtype=np.float32)
+        order = np.argsort(at)
+        who, at = who[order], at[order]
+        for k in range(0, int(at.max(initial=-1)) + 1, 4096):
+            here = slice(*np.searchsorted(at, (k, k + 4096)))
+            holds = np.zeros((m, 4096), dtype=np.float32)
+            holds[who[here], at[here] - k] = 1
+            met += holds @ holds.T
+        size = n[:, None] + n[None, :]
+        able = (100 + percent) * (np.minimum(both[:, None], both[None, :]) + met) >= percent * size
+        able &= (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])) & (component[:, None] != component[None, :])
+        a, b = np.nonzero(np.triu(able, 1))
+        return pa.table([pa.array(np.minimum(x[a], x[b])), pa.array(np.maximum(x[a], x[b]))], names=["a", "b"])
+
+    return run
+
+
 def candidates(shared: DataFrame, found: DataFrame, percent: int, short: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to compare, and lists (c, s, x) too long for that: together all pairs of a group that could be linked and are not yet joined.
 
     Two members x and y of centre c have at most min(both_x, both_y) elements
-    in common inside c. The least size in the group gives the fewest elements
-    x must have in common with any partner, and thus how many (``miss``) must
-    lie outside c. Under one order of elements, rare ones first, the first
-    |rest| - miss + 1 of what lies outside must then meet (prefix filter).
-    Pairs that need nothing outside c are found by size classes (``border``).
+    in common inside c. Small groups count what they share outside. In large
+    ones, the least size gives the fewest elements x must have in common with
+    any partner, and thus how many (``miss``) must lie outside c. Under one
+    order of elements, rare ones first, the first |rest| - miss + 1 of what
+    lies outside must then meet (prefix filter). Pairs that need nothing
+    outside c are found by size classes (``border``).
     """
     of = found.select(F.col("node").alias("x"), "component")
     rows = shared.join(of, "x", "left").withColumn("component", F.coalesce("component", "x"))
-    mixed = rows.groupBy("c").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).filter("lo < hi").select("c", "least")
+    mixed = rows.groupBy("c").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), ((F.count("*") <= GROUP) & (F.sum(F.size("rest")) <= VOLUME)).alias("small")).filter("lo < hi")
+    rows = cut(rows.join(mixed.select("c", "least", "small"), "c"), "near-mixed")
+    pairs = rows.filter("small").select("c", "x", "n", "both", "component", "rest").groupBy("c").applyInArrow(open_pairs(percent), "a long, b long")
+    rows = rows.filter("not small")
+    if not rows.take(1):
+        return cut(pairs.distinct(), "near-pairs"), shared.select("c", F.lit(0).alias("s"), "x").limit(0)
     need = least_common(F.col("n"), F.greatest("least", F.ceil(percent * F.col("n") / F.lit(100) - 1e-9)), percent)
-    rows = cut(rows.join(mixed, "c").withColumn("miss", need - F.col("both")), "near-mixed")
-    outside = rows.select("c", "x", "n", "component", (F.size("rest") - F.greatest("miss", F.lit(1)) + 1).alias("first"), F.explode("rest").alias("s")).filter("first > 0")
-    often = outside.groupBy("c", "s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    place = F.row_number().over(Window.partitionBy("c", "x").orderBy("df", "s"))
-    keys = outside.join(cut(often, "near-often"), ["c", "s"]).withColumn("place", place).filter("place <= first and lo < hi").select("c", "s", "x", "n", "component")
+    rows = rows.withColumn("miss", need - F.col("both"))
+    size = F.size("rest")
+    outside = rows.select("c", "x", "component", size.alias("size"), (size - F.greatest("miss", F.lit(1)) + 1).alias("first"), F.explode("rest").alias("s")).filter("first > 0")
+    often = outside.groupBy("c", "s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("df > 1")
+    met = outside.select("c", "s", "x", "size", "first").join(cut(often, "near-often"), ["c", "s"])
+    mine = Window.partitionBy("c", "x")
+    # Elements of x alone come first of all; they need no row.
+    place = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "s"))
+    keys = met.withColumn("place", place).filter("place <= first and lo < hi").select("c", "s", "x").join(rows.select("c", "x", "n", "component"), ["c", "x"])
     keys = cut(keys, "near-keys")
     lists = keys.groupBy("c", "s").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     keys = keys.join(cut(lists.select("c", "s", "members"), "near-lists"), ["c", "s"])
     left, right = (keys.filter(F.col("members") <= short).select("c", "s", *[F.col(k).alias(f"{k}_{side}") for k in ("x", "n", "component")]) for side in "ab")
     close = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and component_a <> component_b"
-    pairs = left.join(right, ["c", "s"]).filter("x_a < x_b").filter(close).select(F.col("x_a").alias("a"), F.col("x_b").alias("b"))
-    # The larger of two border members, or the one alone if c's component holds the other, lies outside c's component.
+    pairs = pairs.union(left.join(right, ["c", "s"]).filter("x_a < x_b").filter(close).select(F.col("x_a").alias("a"), F.col("x_b").alias("b")))
+    # Of two border members the larger, or one that c's component doesn't hold, is looked up by the sizes its partner may have.
     step = F.log(F.lit(1.02))
     border = rows.filter("miss <= 0").select("c", "x", "n", "both", "component", ((100 + percent) * F.col("both") < percent * (F.col("n") + F.col("n_c"))).alias("open"))
     border = border.withColumn("level", F.floor(F.log("n") / step).cast("int"))
     top = F.floor((100 + percent) * F.col("both") / F.lit(percent) - F.col("n") + 1e-9)
     low = F.greatest(F.lit(1), F.floor(percent * F.col("n") / F.lit(100)))
-    some = border.filter(F.col("open") & (top >= low)).select("c", F.col("x").alias("x_a"), F.col("n").alias("n_a"), F.col("both").alias("both_a"), F.col("component").alias("component_a"), F.explode(F.sequence(F.floor(F.log(low) / step).cast("int"), F.floor(F.log(top) / step).cast("int"))).alias("level"))
+    levels = F.sequence(F.floor(F.log(low) / step).cast("int"), F.floor(F.log(top) / step).cast("int"))
+    some = border.filter(F.col("open") & (top >= low)).select("c", F.col("x").alias("x_a"), F.col("n").alias("n_a"), F.col("both").alias("both_a"), F.col("component").alias("component_a"), F.explode(levels).alias("level"))
     others = border.select("c", "level", *[F.col(k).alias(f"{k}_b") for k in ("x", "n", "both", "component")])
-    met = some.join(others, ["c", "level"]).filter(close).filter(f"{100 + percent} * least(both_a, both_b) >= {percent} * (n_a + n_b)")
-    pairs = pairs.union(met.select(F.least("x_a", "x_b"), F.greatest("x_a", "x_b"))).distinct()
+    near = some.join(others, ["c", "level"]).filter(close).filter(f"{100 + percent} * least(both_a, both_b) >= {percent} * (n_a + n_b)")
+    pairs = pairs.union(near.select(F.least("x_a", "x_b"), F.greatest("x_a", "x_b"))).distinct()
     return cut(pairs, "near-pairs"), cut(keys.filter(F.col("members") > short).select("c", "s", "x"), "near-long")
 
 
@@ -233,8 +276,8 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     texts = docs_view(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     rows = cut(texts.mapInArrow(sketches(size), SKETCH), "near-rows")
-    classes = rows.filter("doc_id is not null and n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("bands").alias("bands"))
-    classes = cut(classes.select("key", "one.doc_id", "one.text_key", "bands"), "near-classes")
+    classes = rows.filter("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("bands").alias("bands"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("key"), "set_key", "one.doc_id", "one.text_key", "bands"), "near-classes")
     members = classes.select(F.col("key").alias("x"), F.explode("bands").alias("band"))
     buckets = cut(members.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "near-buckets")
     members = cut(members.join(buckets, "band"), "near-members")
@@ -244,13 +287,13 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     groups = cut(by_centre(members, ["band"]), "near-groups")
     release_shuffles(spark)
     found = components(links_between(groups, sets, percent))
-    found = classes.select("key", "doc_id").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    found = cut(found.select("key", "component", "doc_id"), "near-found")
+    found = classes.select("key", "set_key", "doc_id").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    found = cut(found.select("set_key", "component", "doc_id"), "near-found")
     names = cut(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-names")
-    named = cut(found.join(names, "component").select(F.col("key").alias("set_key"), "component", "component_id"), "near-named")
+    named = cut(found.join(names, "component").select("set_key", "component", "component_id"), "near-named")
     release_shuffles(spark)
     drop(members, buckets, sets, groups, found, names)
-    alone = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id"))
+    alone = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     linked = rows.filter("doc_id is not null and n_shingles > 0").select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key")
     return linked.select("doc_id", "text_key", "n_shingles", "component", "component_id").union(alone)
 
@@ -262,7 +305,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group, with its smallest doc_id; of rows without words one for each doc_id; all rows with a null doc_id."""
-    one = labelled(docs, size, percent).filter("doc_id is not null").groupBy(F.coalesce(F.hex("component"), F.col("component_id").cast("string"))).agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+    one = labelled(docs, size, percent).filter("doc_id is not null").groupBy("component", F.when(F.col("component").isNull(), F.col("component_id")).alias("alone")).agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
     chosen = cut(one.select(F.col("one.doc_id").alias("__weir_id"), F.col("one.text_key").alias("__weir_key")), "near-chosen")
     rows = docs.withColumn("__weir_text", F.xxhash64(F.col("text").cast("string")))
     kept = rows.join(chosen, (F.col("doc_id").cast("long") == F.col("__weir_id")) & (F.col("__weir_text") == F.col("__weir_key")), "left_semi").dropDuplicates(["doc_id", "__weir_text"])
