@@ -205,7 +205,7 @@ def test_quality(spark, docs, none):
         assert g.base_failed == (g.n_words < 50 or 2 * g.n_repeat_words > g.n_words) and (g.kept <= (not g.base_failed))
     line = prose(60)
     site = spark.createDataFrame([(k, f"{line}\n{prose(9)} {k}", "h") for k in range(30)] + [(99, prose(70), "h"), (98, line, "other")], "doc_id long, text string, source string")
-    kept = {r.doc_id for r in quality.quality_rules(site, max_texts_per_line=20, max_repeat=1.0).collect() if r.kept}
+    kept = {r.doc_id for r in quality.quality_rules(site, least=20, max_share=0.0, max_repeat=1.0).collect() if r.kept}
     assert kept == {98, 99} and rows(quality.quality_rules(none)) == []
 
 

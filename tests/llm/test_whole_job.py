@@ -67,14 +67,35 @@ def test_quality_counts_copies(spark):
     """Copies are documents of their own in a line's count; rows of one document are not."""
     rng = random.Random(8)
     copy, twice, few = words(rng, 60), words(rng, 60), words(rng, 60)
-    rows = [(k, copy, "h") for k in range(21)] + [(100, twice, "h")] * 30 + [(k, few, "h") for k in range(200, 220)] + [(None, words(rng, 60), "h")]
-    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), max_texts_per_line=20).collect()
-    assert len(got) == len(rows) and {r.doc_id for r in got if r.kept} == {None, 100, *range(200, 220)}
-    assert {r.n_frequent_words for r in got if r.doc_id is not None and r.doc_id < 21} == {60}
+    rows = [(k, copy, "h") for k in range(11)] + [(100, twice, "h")] * 30 + [(k, few, "h") for k in range(200, 210)] + [(None, words(rng, 60), "h")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got if r.kept} == {None, 100, *range(200, 210)}
+    assert {r.n_frequent_words for r in got if r.doc_id is not None and r.doc_id < 11} == {60}
     alone = spark.createDataFrame([(None, copy, "h")] * 21, "doc_id long, text string, source string")
     assert not any(r.kept for r in quality.quality_rules(alone).collect())
 
 
+def test_quality_limit_is_a_share_of_the_host(spark):
+    """A line on 30 documents is frequent in a host of 100, not in one of 4,000."""
+    rng = random.Random(9)
+    rows = [(k + 10_000 * h, f"Sold  by us\n{words(rng, 60)}" if k < 30 else words(rng, 52), host) for h, (host, n) in enumerate([("small", 100), ("large", 4000), (None, 31)]) for k in range(n)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got if r.n_frequent_words} == {*range(30), *range(20_000, 20_030)}
+    assert all(r.kept for r in got)
+
+
+def test_quality_removes_lines(spark):
+    """Frequent lines go from the texts, depleted documents go whole; other columns stay as they are."""
+    rng = random.Random(10)
+    own = {k: words(rng, 60) for k in range(40)}
+    rows = [(k, f"{own[k]}\n\nBuy  NOW, {k // 20}\n", "h", k) for k in range(30)] + [(k, f"{words(rng, 5)}\n" + "Buy now, 0\n" * 30, "h", k) for k in range(30, 35)] + [(50, "short", "h", 1), (51, None, None, 2), (None, own[39], "h", 3), (None, own[39], "h", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __weir_b int")
+    got = sorted((r.doc_id, r.text) for r in quality.remove_frequent_lines(docs).collect() if r.doc_id is not None)
+    assert got == [(k, f"{own[k]}\n\n" + ("" if k < 20 else "Buy  NOW, 1\n")) for k in range(30)]
+    assert quality.remove_frequent_lines(docs).filter("doc_id is null").count() == 2 and quality.remove_frequent_lines(docs).columns == docs.columns
+    assert quality.remove_frequent_lines(docs.limit(0)).count() == 0
+
+
 def test_pipeline_decodes(spark):
     """The last stage decodes what it encodes."""
     texts = {1: "Hello  world\n\nfoo", 2: " lead", 3: "é" * 70, 4: "", 5: None, 6: "a ▁b"}

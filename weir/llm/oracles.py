@@ -33,4 +33,18 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.least, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op7_quality_rules": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_PLAIN} AS ws FROM documents),
+line AS (SELECT doc_id, source, l, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS p FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d)),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE len(p) > 0 GROUP BY 1),
+mine AS (SELECT doc_id, source, array_to_string(p, ' ') AS x, sum(len(p)) AS n FROM line WHERE len(p) > 0 GROUP BY ALL),
+often AS (SELECT source, x FROM (SELECT source, x, count(DISTINCT doc_id) AS c FROM mine GROUP BY 1, 2) JOIN (SELECT source, count(DISTINCT doc_id) AS h FROM d GROUP BY 1) USING (source) WHERE c > 10 AND c > 0.01 * h),
+gone AS (SELECT doc_id, sum(n) AS n FROM mine JOIN often USING (source, x) GROUP BY 1),
+win AS (SELECT doc_id, k, array_to_string(ws[k:k + 2], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS k FROM d WHERE len(ws) > 2)),
+twice AS (SELECT doc_id, x FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 3)) AS p FROM win JOIN twice USING (doc_id, x)) GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_frequent_words
+FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words > 0 AND 2 * n_frequent_words > n_words AS depleted,
+NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_words > 0 AND 2 * n_frequent_words > n_words) AS kept FROM m""",
 }
