@@ -65,13 +65,35 @@ def test_decontaminate(spark, docs, none):
                     found |= wins[tuple(w[k : k + n])]
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
     assert rows(decontaminate.contamination(docs, items).drop("items")) == sorted(want, key=repr)
-    index = decontaminate.build_index(docs, 10, 500)
+    index = decontaminate.build_index(docs, 10, 500, reach=12)
     one = rows(decontaminate.search(index, items, 10).select("doc_id", "hits", F.sort_array("items")))
-    assert rows(decontaminate.search(index, items, 10, chunk=1).select("doc_id", F.sort_array("hits"), F.sort_array("items"))) == one
+    assert rows(decontaminate.search(decontaminate.build_index(docs, 10), items, 10).select("doc_id", "hits", F.sort_array("items"))) == one
     assert rows(decontaminate.search(index, items, 10, slop=12).filter("size(hits) > 0")) and rows(decontaminate.contamination(none, items)) == []
+    with pytest.raises(ValueError):
+        decontaminate.search(decontaminate.build_index(docs, 10), items, 10, slop=12)
     assert all(r[2] == 0 for r in rows(decontaminate.contamination(docs, items.limit(0))))
 
 
+def test_proximity(spark):
+    """Windows whose words all lie near an occurrence of their rarest one, never across documents, against brute force."""
+    rng = random.Random(21)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 25))] for _ in range(60)]
+    asked = [["a", "b", "c"], ["c", "h", "g"], ["d", "d", "e"], ["f"], ["a", "zzz", "b"]]
+    freq = {w: sum(t.count(w) for t in texts) for w in "abcdefgh"}
+    for slop in (1, 3, 6):
+        want = set()
+        for d, t in enumerate(texts):
+            for i, ws in enumerate(asked):
+                if all(w in freq for w in ws):
+                    rare = min(range(len(ws)), key=lambda k: (freq[ws[k]], k))
+                    if any(t[p] == ws[rare] and all(w in t[max(0, p - slop) : p + slop + 1] for w in ws) for p in range(len(t))):
+                        want.add((d, str(i)))
+        docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+        items = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(asked)], "item_id long, text string")
+        index = decontaminate.build_index(docs, 3, 100, reach=slop)
+        assert {(r.doc_id, i) for r in decontaminate.search(index, items, 3, slop=slop).collect() for i in r["items"]} == want
+
+
 def test_token_counts(docs, none, tmp_path):
     from tokenizers import Tokenizer
 
@@ -178,6 +200,16 @@ def test_html(spark):
     assert html_text.main_text(df).count() == 7 and html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_html_class_words():
+    """Class names count whole: a layout without a sidebar is no sidebar; small print inside an article is part of it."""
+    kept = lambda page: [t for v, t in html_text.blocks(page) if v]
+    for name in ("no-sidebar", "has-sidebar content", "without_menu", "sidebar-none", "article-body", "adverbs", "page-content", "js-no-ads"):
+        assert kept(f'<div id="content" class="{name}"><p>The story.</p></div>') == ["The story."]
+    for name in ("sidebar", "left-sidebar", "cookie-notice", "ad", "ad-slot-300x250", "site_footer", "share-buttons", "related-posts", "cookieConsent", "comments-area", "main-nav"):
+        assert kept(f'<article><p>The story.</p><div class="{name}"><p>Not it.</p></div></article>') == ["The story."]
+    assert kept('<article><p>Story.</p><p class="legal">Terms of the deal.</p><p class="search-result">Found.</p></article><p class="legal">Legal.</p>') == ["Story.", "Terms of the deal.", "Found."]
+
+
 def test_suffix_array():
     pages = [[R.choice("abc") for _ in range(R.randint(0, 40))] for _ in range(12)]
     got, run = html_text.repeated_tokens(pages, 5), 5

@@ -3,12 +3,15 @@
 ``build_index`` cuts the documents into blocks of bounded size and stores, for
 each block, every term with its positions (delta and variable-byte coded), and
 one row that names the block's documents. No word leaves its block, so the
-index is built without an exchange. ``search`` takes the test windows in
-chunks of bounded size. For each chunk it sums the terms' frequencies over the
-index, gathers a block's postings of the chunk's terms, and intersects, for
-each window, the offset-adjusted position lists from the rarest term on; most
-windows end at the first list. A gap between documents in the block's position
-space keeps matches inside a document.
+index is built without an exchange. ``search`` takes all test windows in one
+pass, as a table: it sums their terms' frequencies over the index, orders each
+window's words from the rarest on, and joins windows to blocks by the rarest
+word, so a block sees only windows whose rarest word it holds. With the
+block's postings of the windows' terms it intersects, for each such window,
+the offset-adjusted position lists from the rarest term on; most end at the
+first list. A gap between documents in the block's position space keeps
+matches inside a document: phrases and, up to the ``reach`` the index was
+built for, words near each other.
 
 Words are runs of the bytes outside ``\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F`` after
 A-Z became a-z. A window is ``window`` consecutive item words; an item with
@@ -35,8 +38,9 @@ from .common import cut, docs_view, list_column, read
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 INDEX = "block long, term binary, n long, postings binary, doc_ids array<long>, lengths array<int>"
 HITS = "block long, slot int, doc_id long, n_words long, hits array<int>, items array<string>"
-#: Text bytes of a block, test windows of one pass, terms up to which they are broadcast.
-BLOCK_BYTES, CHUNK_WINDOWS, BROADCAST_TERMS = 8 << 20, 20_000, 500_000
+WINDOWS = "words array<binary>, item string"
+#: Text bytes of a block, windows' terms up to which they are broadcast.
+BLOCK_BYTES, BROADCAST_TERMS = 8 << 20, 500_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -100,8 +104,9 @@ def segment(block: int, ids: list, texts: list[list[bytes]], gap: int) -> pa.Rec
     )
 
 
-def build_index(docs: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The positional index of all documents, as a written table."""
+def build_index(docs: DataFrame, window: int, block_bytes: int = BLOCK_BYTES, reach: int = 0) -> DataFrame:
+    """The positional index of all documents, as a written table; for phrases of ``window`` words and words at most ``reach`` apart."""
+    gap = max(window, reach) + 1
 
     def run(batches):
         from pyspark import TaskContext
@@ -114,34 +119,46 @@ def build_index(docs: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) ->
                 texts.append(words_of(t))
                 size += len(t) + 8
                 if size >= block_bytes:
-                    yield segment(part << 32 | seq, ids, texts, window + 1)
+                    yield segment(part << 32 | seq, ids, texts, gap)
                     seq, ids, texts, size = seq + 1, [], [], 0
         if ids:
-            yield segment(part << 32 | seq, ids, texts, window + 1)
+            yield segment(part << 32 | seq, ids, texts, gap)
 
-    return cut(docs_view(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, INDEX), "postings")
+    out = cut(docs_view(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, INDEX), "postings")
+    out._weir_gap = gap
+    return out
 
 
-def window_chunks(items: DataFrame, window: int, chunk: int):
-    """Chunks of {window words: item ids}; the items are streamed, one partition at a time."""
-    out: dict[tuple, set] = defaultdict(set)
-    for r in items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator(prefetchPartitions=True):
-        words = words_of(bytes(r[1] or b""))
-        for k in range(max(1, len(words) - window + 1)) if words else ():
-            out[tuple(words[k : k + window])].add("null" if r[0] is None else r[0])
-        if len(out) >= chunk:
-            yield dict(out)
-            out.clear()
-    if out:
-        yield dict(out)
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """(words, items): the distinct windows of all items, each with the ids that have it."""
 
-
-def postings_of(index: DataFrame, terms: list[bytes]) -> DataFrame:
-    want = index.sparkSession.createDataFrame([(bytearray(t),) for t in terms], "term binary")
-    return index.join(F.broadcast(want) if len(terms) <= BROADCAST_TERMS else want, "term", "left_semi")
-
-
-def phrase(lists: dict, words: tuple, order: list[int]) -> np.ndarray:
+    def run(batches):
+        for b in batches:
+            for i, t in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                words = words_of(t or b"")
+                starts = range(max(1, len(words) - window + 1)) if words else range(0)
+                for k in range(0, len(starts), 10_000):
+                    some = [words[s : s + window] for s in starts[k : k + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.binary())), pa.array([i] * len(some), pa.string())], names=["words", "item"])
+
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, WINDOWS).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def planned(index: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The windows whose words all occur, with their words' places from the rarest on; and the index's postings of their terms."""
+    windows = cut(item_windows(items, window).withColumn("win", F.monotonically_increasing_id()), "windows")
+    terms = cut(windows.select(F.explode("words").alias("term")).distinct(), "window-terms")
+    want = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    freq = cut(index.select("term", "n").join(want, "term").groupBy("term").agg(F.sum("n").alias("freq")), "window-freq")
+    places = windows.select("win", F.posexplode("words").alias("at", "term")).join(freq, "term")
+    order = places.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("freq", "at"))).alias("order"))
+    plan = windows.join(order, "win").filter(F.size("order") == F.size("words"))
+    plan = plan.select("words", F.col("order.at").alias("order"), "items", F.get("words", F.col("order")[0]["at"]).alias("term"))
+    return cut(plan, "window-plan"), index.join(want, "term", "left_semi")
+
+
+def phrase(lists: dict, words: list, order: list[int]) -> np.ndarray:
     """Starts of the phrase: offset-adjusted lists, met from the rarest word on."""
     at = None
     for k in order:
@@ -158,7 +175,7 @@ def phrase(lists: dict, words: tuple, order: list[int]) -> np.ndarray:
     return at
 
 
-def near(lists: dict, words: tuple, order: list[int], slop: int) -> np.ndarray:
+def near(lists: dict, words: list, order: list[int], slop: int) -> np.ndarray:
     """Places of the rarest word that have every other word within ``slop`` words of it."""
     p = lists.get(words[order[0]])
     if p is None:
@@ -174,30 +191,19 @@ def near(lists: dict, words: tuple, order: list[int], slop: int) -> np.ndarray:
     return at
 
 
-def search(index: DataFrame, items: DataFrame, window: int, slop: int | None = None, chunk: int = CHUNK_WINDOWS) -> DataFrame:
-    """Per document: the words hit and the items found; exact phrases, or with ``slop`` (at most the window) windows whose words all lie near their rarest one."""
-    out, passes = None, 0
-    for windows in window_chunks(items, window, chunk):
-        terms = sorted({w for ws in windows for w in ws})
-        found = postings_of(index, terms)
-        freq = {bytes(r[0]): r[1] for r in found.groupBy("term").agg(F.sum("n")).toLocalIterator()}
-        # A window with a term that no document holds cannot occur.
-        plan = [(ws, sorted(range(len(ws)), key=lambda k: freq[ws[k]]), sorted(ids)) for ws, ids in windows.items() if all(w in freq for w in ws)]
-        plan = index.sparkSession.sparkContext.broadcast(plan)
-        lookup = found.unionByName(index.filter(F.col("term").isNull()))
-        part = lookup.groupBy("block").applyInArrow(_matcher(plan, window, slop), HITS)
-        out, passes = part if out is None else out.unionByName(part), passes + 1
-    if out is None:
-        bare = index.filter(F.col("term").isNull()).select("block", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("slot", "d"))
-        return bare.select("block", "slot", F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    both = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    return out.groupBy("block", "slot").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), both("hits"), both("items")) if passes > 1 else out
-
-
-def _matcher(plan, window: int, slop: int | None):
-    gap = window + 1
-
-    def run(table: pa.Table) -> pa.Table:
+def search(index: DataFrame, items: DataFrame, window: int, slop: int | None = None) -> DataFrame:
+    """Per document: the words hit and the items found; exact phrases, or with ``slop`` windows whose words all lie within so many words of their rarest one."""
+    gap = index._weir_gap
+    if max(window, slop or 0) >= gap:
+        raise ValueError(f"the index was built for a reach of {gap - 1} words")
+    plan, postings = planned(index, items, window)
+    mine = index.select(F.col("block").alias("at"), "term").join(plan, "term").select("at", "words", "order", "items")
+    lookup = postings.unionByName(index.filter(F.col("term").isNull()))
+    return lookup.groupBy("block").cogroup(mine.groupBy("at")).applyInArrow(_matcher(gap, slop), HITS)
+
+
+def _matcher(gap: int, slop: int | None):
+    def run(table: pa.Table, windows: pa.Table) -> pa.Table:
         lists, ids, lengths = {}, [], []
         for t, p, d, n in zip(*(table.column(c).to_pylist() for c in ("term", "postings", "doc_ids", "lengths"))):
             if t is None:
@@ -207,16 +213,15 @@ def _matcher(plan, window: int, slop: int | None):
         size = np.array(lengths, dtype=np.int64)
         base = np.cumsum(size + gap) - (size + gap)
         hits, items = defaultdict(list), defaultdict(set)
-        for words, order, names in plan.value:
-            if words[order[0]] not in lists:
-                continue
-            at = phrase(lists, words, order) if slop is None else near(lists, words, order, slop)
-            if not len(at):
-                continue
-            span = np.arange(len(words)) if slop is None else np.zeros(1, dtype=np.int64)
-            for slot in np.unique(doc := np.searchsorted(base, at, side="right") - 1):
-                hits[slot].append((at[doc == slot][:, None] + span - base[slot]).ravel())
-                items[slot].update(names)
+        for chunk in windows.to_batches(max_chunksize=1_000):
+            for words, order, names in zip(*(chunk.column(c).to_pylist() for c in ("words", "order", "items"))):
+                at = phrase(lists, words, order) if slop is None else near(lists, words, order, slop)
+                if not len(at):
+                    continue
+                span = np.arange(len(words)) if slop is None else np.zeros(1, dtype=np.int64)
+                for slot in np.unique(doc := np.searchsorted(base, at, side="right") - 1):
+                    hits[slot].append((at[doc == slot][:, None] + span - base[slot]).ravel())
+                    items[slot].update(names)
         none = np.empty(0, dtype=np.int64)
         found = [np.unique(np.concatenate(hits[s])) if s in hits else none for s in range(len(ids))]
         return pa.table(

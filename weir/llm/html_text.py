@@ -57,6 +57,13 @@ BOILER_WORDS = frozenset(
     "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social comment comments disqus respond reply replies breadcrumb breadcrumbs pagination pager related recommended widget toolbar search copyright legal disclaimer masthead".split()
 )
+#: Inside an article these name what the article says, as small print or a list of results.
+MILD_WORDS = frozenset("legal copyright disclaimer search alert login signup masthead overlay".split())
+#: Parts of a class name that say nothing of their own; with any other part the name isn't boilerplate.
+NEUTRAL = frozenset(
+    "main site page post posts entry top bottom left right primary secondary global header box bar bars area block blocks button buttons icon icons container wrap wrapper inner outer list item items link links slot unit section content module panel text form user reader "
+    "message policy js u l c m s the row column col group strip footer1 footer2 slider carousel zone label".split()
+)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_WORDS = frozenset("articlebody postcontent entrycontent".split())
@@ -66,15 +73,23 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td"
 DROP, MAIN, OTHER = 0, 1, 2
 
 
+def name_words(name: str) -> set:
+    """What a class or id says: its boilerplate words if all its parts are such or neutral, else itself."""
+    parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)]
+    words = {p for p in parts if p in BOILER_WORDS}
+    if words and all(p in BOILER_WORDS or p in NEUTRAL or p.isdigit() or len(p) == 1 for p in parts):
+        return words
+    return {"".join(parts)} | ({"header"} if "header" in parts else set())
+
+
 def attributes(text: str) -> tuple[set, str, bool]:
     """Words of class and id, the role, and whether the element is hidden."""
     words, role, gone = set(), "", False
     for m in ATTR.finditer(text):
         name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            for w in value.lower().split():
-                words.add(re.sub(r"[^a-z]", "", w))
-                words.update(re.split(r"[^a-z]+", w))
+            for w in value.split():
+                words |= name_words(w)
         elif name == "role":
             role = value.lower()
         elif m[5] or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -93,7 +108,7 @@ def verdict(tag: str, rest: str, inside: int, in_main: bool) -> int:
         return DROP if "comment" in words or "comments" in words or "related" in words or inside == DROP and in_main else MAIN
     if inside == DROP:
         return DROP
-    if words and not BOILER_WORDS.isdisjoint(words) or tag == "header" or "header" in words and tag in ("div", "section"):
+    if words and not (words - MILD_WORDS if in_main else words).isdisjoint(BOILER_WORDS) or tag == "header" or "header" in words and tag in ("div", "section"):
         return DROP
     return MAIN if words and not MAIN_WORDS.isdisjoint(words) else inside
 
