@@ -104,6 +104,11 @@ def test_token_counts(docs, none, tmp_path):
     for _ in range(2):  # the second time from the cache alone
         assert rows(token_counts.token_counts(docs, path, cache)) == want
     assert docs.sparkSession.read.parquet(cache).groupBy("digest", "version").count().filter("count > 1").count() == 0
+    before = docs.sparkSession.read.parquet(cache).count()
+    more = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(900, "a text of its own"), (901, "a text of its own"), (902, "A  text of its own")], "doc_id long, text string"))
+    got = rows(token_counts.token_counts(more, path, cache))
+    assert sorted([*want, *[(k, n, 5, False) for k, n in ((900, 17), (901, 17), (902, 18))]], key=repr) == got
+    assert docs.sparkSession.read.parquet(cache).count() == before + 2  # only what is new was encoded and appended
     assert rows(token_counts.token_counts(none, path)) == []
     assert not token_counts.drops_white_space(P.path("byte_bpe_50k.json"))
 

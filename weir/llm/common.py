@@ -26,37 +26,69 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; one of its own only where none is set and all runs on this machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="weir-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()), path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weir-tables/{name}-{uuid.uuid4().hex}"
+    """A place for a table; it goes with the application at the latest."""
+    top = f"{shared_dir(spark)}/weir-tables/{spark.sparkContext.applicationId}"
+    if top not in _TOPS:
+        fs, path = file_system(spark, top)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _TOPS.add(top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
 
+_TOPS: set[str] = set()
+_SCRATCH: list[list[DataFrame]] = []
 
-def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write the rows as a table in the shared folder and read them back: cuts lineage."""
+
+def cut(df: DataFrame, name: str, codec: str = "snappy", stays: bool = False) -> DataFrame:
+    """Write the rows as a table in the shared folder and read them back: cuts lineage. ``stays``: not deleted by ``scratch``."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weir_path = path
+    if _SCRATCH and not stays:
+        _SCRATCH[-1].append(out)
     return out
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that no later plan reads."""
     for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t._weir_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = file_system(t.sparkSession, t._weir_path)
+        fs.delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Delete at the end the tables that were cut inside."""
+    mine: list[DataFrame] = []
+    _SCRATCH.append(mine)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        drop(*mine)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -393,7 +393,7 @@ def encode(docs: DataFrame, model: str, out: str, each, head: int = HEAD) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(found.columns, names=found.schema.names))], names=["key", "chunks"])
 
     # A task passes a key on once, so copies are few before the exchange. Dealt by the text's key once; the lattice of its chunks stays where they are.
-    rest = docs.mapInArrow(rare, f"key long, chunks array<struct<chunk: string, spans: {SPANS}>>").repartition(SPREAD * docs.rdd.getNumPartitions(), "key").groupBy("key").agg(F.first("chunks").alias("chunks")).select("key", F.inline("chunks"))
+    rest = docs.mapInArrow(rare, f"key long, chunks array<struct<chunk: string, spans: {SPANS}>>").repartition(SPREAD * max(1, docs.rdd.getNumPartitions()), "key").groupBy("key").agg(F.first("chunks").alias("chunks")).select("key", F.inline("chunks"))
     rest = lattice(rest, ["key"], pieces).groupBy("key").agg(F.collect_list(F.struct("chunk", "used")).alias("rest"))
     joined = docs.join(rest, "key", "left")
 

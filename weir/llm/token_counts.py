@@ -1,6 +1,7 @@
 """Token counts through a digest cache (op 2).
 
-The cache is a table (digest, version, n_tokens) in the shared folder. A text
+The cache is a table (digest, version, n_tokens) in the shared folder; it
+stays there for later runs, which encode only texts that are new to it. A text
 is keyed by a digest of its normalised content and the tokenizer by a digest
 of its file. Texts whose key the cache lacks are reduced to one row a digest
 before the exchange, encoded once, and appended; the counts then come from the
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, docs_view, new_path, read
+from .common import docs_view, read, shared_dir
 
 CACHE = "digest binary, version string, n_tokens long"
 #: Distinct parts a worker remembers before it starts anew.
@@ -89,7 +90,7 @@ def counting(path: str, by_part: bool):
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 2048) -> DataFrame:
-    """Count tokens of every text. cache: the folder of the cache table; it is made where it is missing."""
+    """Count tokens of every text. cache: the folder of the cache table, by default one in the shared folder; it is made where it is missing."""
     spark = docs.sparkSession
     version, by_part = tokenizer_version(tokenizer), drops_white_space(tokenizer)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -97,7 +98,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         text = F.regexp_replace(text, "[ \\n\\r\\t]+", " ")
     keyed = docs_view(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), text.alias("text"))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    cache = cache or new_path(spark, "token-cache")
+    cache = cache or f"{shared_dir(spark)}/weir-cache/token-counts"
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
     known = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version)
     misses = keyed.join(known.select("digest"), "digest", "left_anti") if known.take(1) else keyed

@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import WORD_CACHE, docs_view, list_column, read
+from .common import WORD_CACHE, cut, docs_view, drop, list_column, read
 
 SENTENCE = re.compile(rb"[.!?\n]+")
 #: Bytes of ASCII letters and of non-ASCII characters; all others separate words.
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Rows read for fitting, and the signed root of a feature's likelihood ratio against the toxic share of all texts (4.5: by chance 3 words in a million).
-MAX_ROWS, MIN_Z = 20_000, 4.5
+#: Rows read for fitting; the signed root of a feature's likelihood ratio against the toxic share of all texts (4.5: by chance 3 words in a million), and its least log odds.
+MAX_ROWS, MIN_Z, MIN_ODDS = 20_000, 4.5, 0.7
 
 
 def held_out() -> Column:
@@ -104,11 +104,12 @@ def fit(y: np.ndarray, plain: np.ndarray, doc: np.ndarray, entry_sentence: np.nd
     return theta[:m], float(theta[m])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Learn from the labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_z: float = MIN_Z, min_odds: float = MIN_ODDS) -> Model:
+    """Learn from the labelled rows that are not held out. A lower ``min_z`` or ``min_odds`` makes more words features."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     texts = docs_view(docs).select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = cut(texts, "toxicity-sample")  # three jobs read it
 
     def words(batches):
         for b in batches:
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     n, share = F.col("bad") + F.col("good"), bad / (bad + good)
     ratio = F.col("bad") * F.log(F.col("bad") / (n * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0.0)
-    chosen = counted.filter("bad > 0").withColumn("odds", odds).filter((F.col("odds") > 0.7) & (2 * ratio > MIN_Z**2)).orderBy("word").collect()
+    chosen = counted.filter("bad > 0").withColumn("odds", odds).filter((F.col("odds") > min_odds) & (2 * ratio > min_z**2)).orderBy("word").collect()
     chosen = [(r["word"], r["odds"]) for r in chosen]
     at = {w: k for k, (w, _) in enumerate(chosen)}
 
@@ -145,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             doc.append(k)
     y = (bag.column("toxic").to_numpy() == 1).astype(float)
     ints = lambda x: np.array(x, dtype=np.int64)
+    drop(texts)
     w, b = fit(y, bag.column("plain").to_numpy().astype(float), ints(doc), ints(sent), ints(word), np.array([o for _, o in chosen], dtype=float))
     return Model({f: float(x) for (f, _), x in zip(chosen, w)}, b)
 
