@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import decontaminate, near_duplicates, piece_lattice, substrings, toxicity
-from weir.llm.common import cut, read
+from weir.llm.common import cut, drop, read, scratch
 
 MODEL = "piece_bpe_32k.model"
 
@@ -35,10 +35,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten-word window of ``benchmark``. Rows with a null doc_id stay."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("__weir_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__weir_id"], "left_anti")
+    """Documents without any ten-word window of ``benchmark``. Each row is judged by its own text, named by a 64-bit hash, so null and repeated doc_ids do not matter."""
+    name = F.xxhash64(F.col("text").cast("string"))
+    found = decontaminate.contamination(docs.select(name.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("__weir_text")).distinct()
+    return docs.join(bad, name == bad["__weir_text"], "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows; what the stages wrote on the way is deleted."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}", stays=True)
+        drop(*before)
+        before = [docs]
     return docs
