@@ -176,6 +176,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_every_query_has_rows(spark):
     from weir import catalog
 
-    for name, q in catalog.queries().items():
-        assert q(spark, "/root/testdata/sf0.001").columns, name
-    assert catalog.flagship(spark, "/root/testdata/sf0.001").take(1)
+    found = catalog.queries()
+    assert set(found) == set(catalog.oracle_sql())
+    empty = [name for name, q in found.items() if not q(spark, "/root/testdata/sf0.001").take(1)]
+    assert set(empty) <= {"group_having", "cte_chain", "exec_detail", "stream_stream_join", "join_interval"}, empty

@@ -35,10 +35,13 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict:
+    from . import catalog_nodes  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
 
 
@@ -283,7 +286,10 @@ def join_interval(spark, sf):
     e = t(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
     a = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("at"))
     b = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), "ts")
-    return a.join(b, "user_id").filter("ts >= at and ts < at + interval 1 hour").select("click", "purchase")
+    # The hour is part of the key, so a user's clicks meet only the purchases of two hours.
+    hour = lambda at: F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / 3600)
+    a = a.withColumn("hour", F.explode(F.array(hour("at"), hour("at") + 1)))
+    return a.join(b.withColumn("hour", hour("ts")), ["user_id", "hour"]).filter("ts >= at and ts < at + interval 1 hour").select("click", "purchase")
 
 
 @query("SELECT c_custkey AS k, 'rich' AS side FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey, 'poor' FROM customer WHERE c_acctbal <= 0")
@@ -408,9 +414,9 @@ def cdc_running_max(spark, sf):
     return cdc.accepted(_changes(spark, sf), None, "user_id", "event_id", "position", 100, 9000).select("event_id", "user_id", "position")
 
 
-@query(f"SELECT user_id, p AS position, value FROM (SELECT user_id, max(position) AS p, arg_max(kind, position) AS k, arg_max(value, position) AS value FROM {CDC_SQL} GROUP BY 1) WHERE k <> 'error'")
+@query(f"SELECT user_id, p AS position, value FROM (SELECT user_id, max(position) AS p, arg_max(kind, position * 1000000000 + event_id) AS k, arg_max(value, position * 1000000000 + event_id) AS value FROM {CDC_SQL} GROUP BY 1) WHERE k <> 'error'")
 def cdc_latest_image(spark, sf):
-    return cdc.latest(_changes(spark, sf).dropDuplicates(["user_id", "position"]), "user_id", "position", "kind", "error", "value")
+    return cdc.latest(_changes(spark, sf), "user_id", "position", "kind", "error", "value", arrival="event_id")
 
 
 @query(f"SELECT user_id, CAST(floor((max(position) - 0) * 100.0 / 10007) AS INT) AS pct FROM {CDC_SQL} GROUP BY 1")
@@ -456,12 +462,11 @@ def json_rows(spark, sf):
     return t(spark, sf, "region").select(F.col("r_regionkey"), F.lit(None).cast("string").alias("none"), "r_name").select(exprs.json_row("r_regionkey", "none", "r_name").alias("value"))
 
 
-@query("SELECT * FROM (VALUES (0, 'customer'), (1, 'orders'), (2, 'nation')) v(pos, name)")
+@query("SELECT * FROM (VALUES (0, 'orders'), (1, 'customer'), (2, 'nation')) v(pos, name)")
 def table_refs(spark, sf):
     text = "WITH big AS (SELECT * FROM orders) SELECT * FROM customer JOIN big ON 1 = 1 WHERE EXISTS (SELECT 1 FROM nation)"
     found = sqltools.table_references(spark, text)
-    order = ["customer", "orders", "nation"]
-    return spark.createDataFrame([(order.index(n), n) for n in found], "pos int, name string")
+    return spark.createDataFrame(list(enumerate(found)), "pos int, name string")
 
 
 @query("SELECT * FROM (VALUES ('key', 'customer.c_custkey'), ('who', 'customer.c_name'), ('who', 'nation.n_name')) v(col, src)")

@@ -72,9 +72,21 @@ def run_sql(spark, sql: str, parameters: dict | list | None = None, **views):
             raise BindingError(f"{n} markers and {len(parameters)} parameters")
     elif lost := missing(sql, parameters or {}):
         raise BindingError(f"missing parameters: {', '.join(lost)}")
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(markers(sql), args=parameters or None)
+    before = {name: spark.table(name) for name in views if _is_view(spark, name)}
+    try:
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(markers(sql), args=parameters or None)  # analysed here, so the views may go
+    finally:
+        for name in views:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def _is_view(spark, name: str) -> bool:
+    return spark._jsparkSession.sessionState().catalog().getTempView(name).isDefined()
 
 
 class QueryBuilder:

@@ -14,8 +14,9 @@ def jvm_trim(c: Column) -> Column:
 
 
 def jvm_hash(c: Column) -> Column:
-    """The JVM's String.hashCode, as an int. Characters are UTF-16 units, so text must lie in the basic plane."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    """The JVM's String.hashCode, as an int, over UTF-16 units."""
+    units = F.hex(F.encode(c, "UTF-16BE"))
+    codes = F.transform(F.sequence(F.lit(0), F.greatest((F.length(units) / 4).cast("int"), F.lit(1)) - 1), lambda k: F.coalesce(F.conv(F.substr(units, k * 4 + 1, F.lit(4)), 16, 10).cast("long"), F.lit(0)))
     total = F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: (acc * 31 + x) % (1 << 32))
     return F.when(total >= 1 << 31, total - (1 << 32)).otherwise(total).cast("int")
 

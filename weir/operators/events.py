@@ -43,5 +43,15 @@ def fold_state(log: DataFrame, seq: str = "seq") -> DataFrame:
     return last.join(nodes, ["workflow_id", "execution_id"], "left").withColumn("completed_nodes", F.coalesce("completed_nodes", F.array().cast("array<string>")))
 
 
+def newest_first(summaries: DataFrame) -> DataFrame:
+    return summaries.orderBy(F.desc("start_time"), "execution_id")
+
+
+def state_stream(log: DataFrame, seq: str = "seq") -> DataFrame:
+    """The state fold over a stream of events, as a running aggregate: a workflow's state and last execution after its latest event."""
+    state = F.when(F.col("event_type") == START, "running").when(F.col("event_type") == DONE, "completed").when(F.col("event_type") == FAILED, "failed")
+    return log.filter(state.isNotNull()).groupBy("workflow_id").agg(F.max_by(state, seq).alias("state"), F.max_by("execution_id", seq).alias("execution_id"))
+
+
 def timeline(log: DataFrame, execution: str) -> DataFrame:
     return log.filter(F.col("execution_id") == execution).orderBy("timestamp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,12 @@ def _lines(df: DataFrame) -> DataFrame:
 
 
 def console(spark: SparkSession, c: dict, df: DataFrame):
-    rows = df.limit(int(c.get("limit", 100))).collect()
+    """Print the rows; all of them, one partition at a time, unless a ``limit`` is asked for. Returns the rows only with a limit."""
+    if "limit" not in c:
+        for r in df.toLocalIterator(prefetchPartitions=True):
+            print(r)
+        return None
+    rows = df.limit(int(c["limit"])).collect()
     for r in rows:
         print(r)
     return rows
@@ -38,11 +45,66 @@ def file_transfer(spark: SparkSession, c: dict, df: DataFrame):
 
 
 def mysql_write(spark: SparkSession, c: dict, df: DataFrame):
-    """Append rows over JDBC; ``upsert`` needs a table format with MERGE (see ``operators.cdc.apply_changes`` for files)."""
-    if c.get("mode", "insert") != "insert":
-        raise NotImplementedError("upsert needs a table format with MERGE")
+    """Append rows over JDBC. ``upsert`` appends to a table of its own, which the server then merges by ``keys`` in one statement."""
     url = c.get("url") or f"jdbc:mysql://{c['host']}:{c.get('port', 3306)}/{c['database']}"
-    df.write.format("jdbc").option("url", url).option("dbtable", c["table"]).option("user", c.get("username", "")).option("password", c.get("password", "")).option("batchsize", int(c.get("batchSize", 1000))).mode("append").save()
+    mode, target = c.get("mode", "insert"), c["table"]
+    if mode not in ("insert", "upsert"):
+        raise ValueError(f"unknown mode {mode}")
+    options = {"url": url, "user": c.get("username", ""), "password": c.get("password", ""), "batchsize": str(int(c.get("batchSize", 1000)))} | ({"driver": c["driver"]} if "driver" in c else {})
+    if mode == "insert":
+        df.write.format("jdbc").options(**options, dbtable=target).mode("append").save()
+        return
+    staging = f"{target}_{uuid.uuid4().hex[:12]}"
+    df.write.format("jdbc").options(**options, dbtable=staging).mode("overwrite").save()
+    _statements(spark, options, [merge_statement(url, target, staging, df.columns, c["keys"]), f"DROP TABLE {staging}"])
+
+
+def merge_statement(url: str, target: str, staging: str, columns: list[str], keys: list[str]) -> str:
+    """Rows of ``staging`` into ``target`` by key, in MySQL's or in standard SQL."""
+    own = url.startswith("jdbc:mysql:")
+    quoted = lambda x: f"`{x}`" if own else f'"{x}"'  # noqa: E731  as Spark names the columns of tables it makes
+    rest, keys, columns = [quoted(x) for x in columns if x not in keys], [*map(quoted, keys)], [*map(quoted, columns)]
+    names = ", ".join(columns)
+    if own:
+        return f"INSERT INTO {target} ({names}) SELECT {names} FROM {staging} ON DUPLICATE KEY UPDATE " + ", ".join(f"{x} = VALUES({x})" for x in rest or keys)
+    on = " AND ".join(f"t.{k} = s.{k}" for k in keys)
+    update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{x} = s.{x}' for x in rest)}" if rest else ""
+    return f"MERGE INTO {target} t USING {staging} s ON {on}{update} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join(f's.{x}' for x in columns)})"
+
+
+def _statements(spark: SparkSession, options: dict, statements: list[str]) -> None:
+    jvm = spark._jvm
+    settings = jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if options.get(k):
+            settings.setProperty(k, options[k])
+    connection = jvm.java.sql.DriverManager.getConnection(options["url"], settings)
+    try:
+        for text in statements:
+            connection.createStatement().execute(text)
+    finally:
+        connection.close()
+
+
+def fold(spark: SparkSession, c: dict, df: DataFrame):
+    """A stream fold as an aggregate: ``sum``, ``count``, ``min``, ``max``, ``first`` or ``last`` (by ``_seq``) of ``field``, one row."""
+    kind, field = c.get("kind", "count"), c.get("field", "value")
+    number = F.col(field).try_cast("double") if kind != "count" else None
+    order = F.col("_seq") if "_seq" in df.columns else F.lit(0)
+    what = {"sum": lambda: F.sum(number), "count": lambda: F.count("*"), "min": lambda: F.min(number), "max": lambda: F.max(number), "first": lambda: F.min_by(field, order), "last": lambda: F.max_by(field, order)}
+    return df.agg(what[kind]().alias(kind)).collect()
+
+
+def foreach(spark: SparkSession, c: dict, df: DataFrame):
+    """Call ``each(rows)`` on the executors with every batch of rows."""
+    each = c["each"]
+
+    def run(batches):
+        for b in batches:
+            each(b.to_pylist())
+            yield b.slice(0, 0)
+
+    df.mapInArrow(run, df.schema).write.format("noop").mode("overwrite").save()
 
 
 def kafka_producer(spark: SparkSession, c: dict, df: DataFrame):
@@ -69,4 +131,6 @@ SINKS = {
     "kafka.producer": kafka_producer,
     "aggregate.count": count,
     "ignore": discard,
+    "fold": fold,
+    "foreach": foreach,
 }

@@ -62,10 +62,52 @@ def aggregate_count(spark: SparkSession, c: dict, df: DataFrame) -> DataFrame:
     return df.groupBy(*c.get("groupBy", [])).agg(F.count("*").alias("count"))
 
 
-def sql_node(spark: SparkSession, c: dict, df: DataFrame) -> DataFrame:
-    """A statement over the view ``input``, run once over all rows."""
+def sql_node(spark: SparkSession, c: dict, df: DataFrame, **views: DataFrame) -> DataFrame:
+    """A statement over the view ``input`` (and others by name), run once over all rows."""
     config = SqlNodeConfig.from_config(c)
-    return run_sql(spark, config.sql, config.parameters, input=df)
+    return run_sql(spark, config.sql, config.parameters, **views, input=df)
+
+
+def csv_clean(spark: SparkSession, c: dict, df: DataFrame) -> DataFrame:
+    """Raw lines of id, name, age, email: without the header (the first by ``_seq``), at least four fields, names trimmed, emails in lower case, ages above 0 and below 150; lines that don't parse go."""
+    first = df.agg(F.min("_seq")).first()[0]
+    f = F.split("value", ",")
+    rows = df.filter(F.col("_seq") != first).filter(F.size(f) >= 4)
+    rows = rows.select("_seq", f[0].try_cast("int").alias("id"), jvm_trim(f[1]).alias("name"), f[2].try_cast("int").alias("age"), F.lower(f[3]).alias("email"))
+    return rows.filter("id is not null and age > 0 and age < 150")
+
+
+def drop_first(spark: SparkSession, c: dict, df: DataFrame) -> DataFrame:
+    """Without the first ``n`` rows by ``_seq``: only those n are sorted out, the rest stays where it is."""
+    n = int(c.get("n", 1))
+    gone = df.select("_seq").orderBy("_seq").limit(n)
+    return df.join(gone, "_seq", "left_anti")
+
+
+def map_concat(spark: SparkSession, c: dict, df: DataFrame) -> DataFrame:
+    """A row for each part of ``value`` (cut at ``separator``), in order."""
+    parts = F.split("value", F.concat(F.lit("\\Q"), F.lit(c.get("separator", ",")), F.lit("\\E")))
+    keep = [x for x in df.columns if x != "value"]
+    return df.select(*keep, F.posexplode(parts).alias("_part", "value"))
+
+
+def grouped(spark: SparkSession, c: dict, df: DataFrame) -> DataFrame:
+    """One row for each ``size`` rows by ``_seq``: their values as a list, in order."""
+    return batch(spark, {"batchSize": c.get("size", 10)}, df).groupBy("_batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "value"))), lambda x: x["value"]).alias("values"))
+
+
+def prioritised(frames: list[DataFrame]) -> DataFrame:
+    """One frame of all, with the rank of the one a row comes from: to be worked through in that order."""
+    out = None
+    for k, df in enumerate(frames):
+        one = df.withColumn("_priority", F.lit(k))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def balanced(df: DataFrame, workers: int, key: str) -> DataFrame:
+    """The worker each row goes to, even and always the same."""
+    return df.withColumn("_worker", F.pmod(F.xxhash64(key), F.lit(workers)).cast("int"))
 
 
 def moving_sum(df: DataFrame, value: str, order: list, keys: list[str], size: int) -> DataFrame:
@@ -87,4 +129,8 @@ TRANSFORMS = {
     "aggregate.sum": aggregate_sum,
     "aggregate.count": aggregate_count,
     "sql.query": sql_node,
+    "csv.clean": csv_clean,
+    "drop": drop_first,
+    "map.concat": map_concat,
+    "grouped": grouped,
 }

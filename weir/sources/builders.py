@@ -75,6 +75,33 @@ def kafka_consumer(spark: SparkSession, c: dict) -> DataFrame:
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", c["brokers"]).option("subscribe", c["topic"]).load().select(F.col("value").cast("string").alias("value"), "timestamp")
 
 
+def jdbc_stream(spark: SparkSession, c: dict) -> DataFrame:
+    """A table over JDBC in parallel parts by a whole-number column, as one does in place of a row stream."""
+    options = {"url": c["url"], "dbtable": c["table"], "fetchsize": str(int(c.get("fetchSize", 1000)))}
+    if c.get("partitionColumn"):
+        options |= {"partitionColumn": c["partitionColumn"], "lowerBound": str(c["lower"]), "upperBound": str(c["upper"]), "numPartitions": str(c.get("partitions", 8))}
+    for key in ("user", "password", "driver"):
+        if key in c:
+            options[key] = c[key]
+    return spark.read.format("jdbc").options(**options).load()
+
+
+def single(spark: SparkSession, c: dict) -> DataFrame:
+    """One record."""
+    return spark.createDataFrame([(0, str(c.get("value", "")))], "_seq long, value string")
+
+
+def repeated(spark: SparkSession, c: dict) -> DataFrame:
+    """One record ``count`` times."""
+    return spark.range(int(c.get("count", 1))).select(F.col("id").alias("_seq"), F.lit(str(c.get("value", ""))).alias("value"))
+
+
+def change_ticks(spark: SparkSession, c: dict) -> DataFrame:
+    """Simulated changes as a stream: the events of ``cdc.events`` by the ticks of the rate source, ``rowsPerSecond`` of them."""
+    ticks = rate(spark, c).select((F.col("value") + 1).alias("id"))
+    return ticks.select(*_change_columns(int(c.get("keys", 10))))
+
+
 def rate(spark: SparkSession, c: dict) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", int(c.get("rowsPerSecond", 1))).load()
 
@@ -86,11 +113,14 @@ def directory_watch(spark: SparkSession, c: dict) -> DataFrame:
 
 def change_events(spark: SparkSession, c: dict) -> DataFrame:
     """Simulated changes of ``users`` and ``orders``: growing position, operation and images chosen by hash."""
-    n, keys = int(c.get("count", 100)), int(c.get("keys", 10))
+    return spark.range(1, int(c.get("count", 100)) + 1).select(*_change_columns(int(c.get("keys", 10))))
+
+
+def _change_columns(keys: int) -> list:
     h = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m))
     kind = F.element_at(F.array(*map(F.lit, ("INSERT", "UPDATE", "DELETE"))), (h(1, 3) + 1).cast("int"))
     image = F.create_map(F.lit("id"), (h(2, keys) + 1).cast("string"), F.lit("age"), (h(3, 60) + 18).cast("string"))
-    return spark.range(1, n + 1).select(
+    return [
         F.concat(F.lit("evt-"), "id").alias("event_id"),
         F.when(h(4, 2) == 0, "users").otherwise("orders").alias("table_name"),
         kind.alias("event_type"),
@@ -98,7 +128,7 @@ def change_events(spark: SparkSession, c: dict) -> DataFrame:
         F.when(kind != "INSERT", image).alias("before"),
         F.when(kind != "DELETE", image).alias("after"),
         F.col("id").alias("position"),
-    )
+    ]
 
 
 def snapshot(spark: SparkSession, c: dict) -> DataFrame:
@@ -119,6 +149,10 @@ SOURCES = {
     "mysql.query": mysql_query,
     "kafka.consumer": kafka_consumer,
     "rate.ticks": rate,
+    "jdbc.table": jdbc_stream,
+    "single": single,
+    "repeat": repeated,
+    "cdc.ticks": change_ticks,
     "directory.watch": directory_watch,
     "cdc.events": change_events,
     "cdc.snapshot": snapshot,

@@ -25,8 +25,9 @@ class VersionedTable:
         done = [s.getPath() for s in fs.listStatus(folder) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return max((int(p.getName().split("=")[-1]) for p in done), default=-1)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.version()}")
+    def read(self, version: int | None = None) -> DataFrame:
+        """The table as of a version, by default the last."""
+        return self.spark.read.parquet(f"{self.path}/v={self.version() if version is None else version}")
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")

@@ -33,3 +33,11 @@ def _spread(df: DataFrame, w: str) -> DataFrame:
 def within(df: DataFrame, at: str, length: str, lateness: str, keys: list[str]) -> DataFrame:
     """Distinct keys, remembered for the watermark only."""
     return _late(df, at, lateness).dropDuplicatesWithinWatermark(keys)
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, at: str, length: str, lateness: str) -> DataFrame:
+    """Pairs of one key whose right row comes at the left one's time or less than ``length`` after it; in streams, state is kept for that span and the lateness. The right side's columns get the prefix ``other_``."""
+    a = _late(left, at, lateness)
+    b = _late(right, at, lateness).select(*[F.col(c).alias(f"other_{c}") for c in right.columns])
+    near = (F.col(key) == F.col(f"other_{key}")) & (F.col(f"other_{at}") >= F.col(at)) & (F.col(f"other_{at}") < F.col(at) + F.expr(f"interval {length}"))
+    return a.join(b, near)
