@@ -64,19 +64,26 @@ def retry(call, attempts: int = 3, backoff: float = 0.1):
             time.sleep(backoff * k)
 
 
+#: What names a job group on a thread.
+JOB_GROUP = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+
+
 def within(spark: SparkSession, seconds: float | None, call):
     """``call()``; its Spark jobs are cancelled, and TimeoutError raised, if it takes longer."""
     if not seconds:
         return call()
-    tag, late = f"weir-{uuid.uuid4().hex}", threading.Event()
+    tag, late, done = f"weir-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
-    def stop():
+    def watch():
+        if done.wait(seconds):
+            return
         late.set()
-        spark.sparkContext.cancelJobsWithTag(tag)
+        while not done.wait(0.2):  # also jobs that begin after the time is up
+            spark.sparkContext.cancelJobGroup(tag)
 
-    clock = threading.Timer(seconds, stop)
-    spark.sparkContext.addJobTag(tag)
-    spark.sparkContext.setInterruptOnCancel(True)  # or its tasks would run on
+    was = {k: spark.sparkContext.getLocalProperty(k) for k in JOB_GROUP}
+    spark.sparkContext.setJobGroup(tag, "bounded in time", interruptOnCancel=True)  # or its tasks would run on
+    clock = threading.Thread(target=watch, daemon=True)
     clock.start()
     try:
         out = call()
@@ -85,9 +92,10 @@ def within(spark: SparkSession, seconds: float | None, call):
             raise TimeoutError(f"no result within {seconds} s") from None
         raise
     finally:
-        clock.cancel()
-        spark.sparkContext.setInterruptOnCancel(False)
-        spark.sparkContext.removeJobTag(tag)
+        done.set()
+        clock.join()
+        for k, v in was.items():
+            spark.sparkContext.setLocalProperty(k, v)
     return out
 
 
