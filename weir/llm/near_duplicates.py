@@ -46,7 +46,7 @@ from .common import WordHashes, batches_of, cut, docs_view, drop, list_column, m
 from .graph import components
 
 #: Coordinates of a sketch, bands, members of a list that are compared with each other (twice as many in each later round, so rounds end).
-T, BANDS, SHORT = 128, 32, 64
+T, BANDS, SHORT = 128, 32, 256
 SKETCH = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
 SHARED = "c long, x long, n long, n_c long, both long, rest array<long>"
 #: Groups up to so many members and elements outside the centre are searched by one task; larger ones by joins. The outcome is the same.
@@ -124,7 +124,7 @@ def full_sets(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "n", "elems"])
 
-    one = texts.join(classes.select("doc_id", "text_key", "key"), ["doc_id", "text_key"]).dropDuplicates(["key"])
+    one = texts.join(classes.select("doc_id", "text_key", "key"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     with batches_of(texts.sparkSession, 1_000):
         return cut(one.select("key", "text").mapInArrow(run, "key long, n long, elems binary"), "near-sets")
 
@@ -149,8 +149,15 @@ def shared(groups: DataFrame, sets: DataFrame) -> DataFrame:
         return cut(pairs.select("c", "x", "elems", "elems_c").mapInArrow(run, SHARED), "near-shared")
 
 
+def only(sets: DataFrame, pairs: DataFrame, one: str, two: str) -> DataFrame:
+    """The sets that the pairs name, written: later joins move these alone."""
+    ids = cut(pairs.select(F.col(one).alias("key")).union(pairs.select(two)).distinct(), "near-ids")
+    return cut(sets.join(ids, "key", "left_semi"), "near-some")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
+    sets = only(sets, pairs, "a", "b")
 
     def run(batches):
         for x in batches:
@@ -258,7 +265,7 @@ def links_between(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Links (a, b) that join every two linked classes that share a group, directly or through others."""
     links, short = None, SHORT
     while True:
-        with_centre = shared(groups, sets)
+        with_centre = shared(groups, sets if links is None else only(sets, groups, "c", "x"))
         near = with_centre.filter(f"{100 + percent} * both >= {percent} * (n + n_c)").select(F.col("c").alias("a"), F.col("x").alias("b"))
         links = near if links is None else links.union(near)
         pairs, long = candidates(with_centre, components(links), percent, short)
