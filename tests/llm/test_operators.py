@@ -262,6 +262,16 @@ def test_token_output(spark, docs, none, tmp_path):
     assert token_output.read_digests(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_encoder_cuts_where_the_library_does():
+    encode = token_output.Encoder(P.path("byte_bpe_50k.json"))
+    texts = ["foo's. it's) 'tis, don't!", "a.b. c,,, d.) e'.) x'll.", "<|endoftext|>. a<|endoftext|>.", "é. ñ! ß? ǆ) ɐ. 日本。 日.", "a.\nb,\n\nc;", "x. .x ... x... (x). [y], 3. 3a. a3.", "á. c_ _c _", "a  b. ", "", "?", "a\n."]
+    texts += [a + m + b for a in ("x", "3", "é", "'s", "") for m in (".", ",)", "'.", "_!") for b in ("", " y.", "\ny!", "z")]
+    for _ in range(2):  # the second time all parts are known
+        assert encode(texts) == encode.whole(texts)
+    encode.known, encode.older = {}, encode.known
+    assert encode(texts) == encode.whole(texts)
+
+
 def test_length_limited_code():
     counts = np.array([2**k for k in range(30)])
     bits = token_output.code_lengths(counts, 12)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, docs_view, drop, list_column, new_path, read, release_shuffles
 
-MAX_BITS, STRIDE, BLOCK_IDS = 20, 512, 1 << 20
+MAX_BITS, STRIDE, BLOCK_IDS = 20, 128, 1 << 20
 IDS = "part int, doc_id long, first long, width int, ids binary, counts binary"
 FILE = "part int, first long, doc_ids array<long>, counts array<int>, checkpoints array<long>, payload binary"
 OUT = "part int, doc_id long, first long, n_tokens long, ids_crc32 long"
@@ -177,7 +177,7 @@ def pack(ids: np.ndarray, words: np.ndarray, bits: np.ndarray) -> tuple[bytes, n
     end = np.cumsum(size)
     start = end - size
     # A word of 32 bits gets all code words that begin in it, and the rest of the last one before it.
-    wide = words[ids].astype(np.uint64) << (64 - size - (start & 31)).astype(np.uint64)
+    wide = (words.astype(np.uint64) << (64 - bits.astype(np.uint64)))[ids] >> (start & 31).astype(np.uint64)
     at = start >> 5
     first = np.flatnonzero(np.diff(at, prepend=-1))
     out = np.zeros(int(at[-1]) + 2, dtype=np.uint64)
