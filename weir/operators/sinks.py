@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import json_row
+from ..sources import embedded
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -52,13 +53,20 @@ def mysql_write(spark: SparkSession, c: dict, df: DataFrame):
         raise ValueError(f"unknown mode {mode}")
     options = {"url": url, "user": c.get("username", ""), "password": c.get("password", ""), "batchsize": str(int(c.get("batchSize", 1000)))} | ({"driver": c["driver"]} if "driver" in c else {})
     if mode == "insert":
-        df.write.format("jdbc").options(**options, dbtable=target).mode("append").save()
+        _save(df, options, target, "append")
         return
     staging = f"{target}_{uuid.uuid4().hex[:12]}"
     df.write.format("jdbc").options(**options, dbtable=staging).mode("overwrite").save()
     _statements(spark, options, [merge_statement(url, target, staging, df.columns, c["keys"]), f"DROP TABLE {staging}"])
 
 
+def _save(df: DataFrame, options: dict, table: str, mode: str) -> None:
+    if embedded.drivers_own(df.sparkSession, options["url"]):
+        embedded.save(df, options, table, mode)
+    else:
+        df.write.format("jdbc").options(**options, dbtable=table).mode(mode).save()
+
+
 def merge_statement(url: str, target: str, staging: str, columns: list[str], keys: list[str]) -> str:
     """Rows of ``staging`` into ``target`` by key, in MySQL's or in standard SQL."""
     own = url.startswith("jdbc:mysql:")
@@ -73,6 +81,7 @@ def merge_statement(url: str, target: str, staging: str, columns: list[str], key
 
 
 def _statements(spark: SparkSession, options: dict, statements: list[str]) -> None:
+    """Run statements on one connection of the driver's."""
     jvm = spark._jvm
     settings = jvm.java.util.Properties()
     for k in ("user", "password"):

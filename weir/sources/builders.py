@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import SqlNodeConfig, run_sql
+from . import embedded
 
 
 def random_numbers(spark: SparkSession, c: dict) -> DataFrame:
@@ -83,7 +84,8 @@ def jdbc_stream(spark: SparkSession, c: dict) -> DataFrame:
     for key in ("user", "password", "driver"):
         if key in c:
             options[key] = c[key]
-    return spark.read.format("jdbc").options(**options).load()
+    rows = spark.read.format("jdbc").options(**options).load()
+    return embedded.load(rows) if embedded.drivers_own(spark, c["url"]) else rows
 
 
 def single(spark: SparkSession, c: dict) -> DataFrame:
