@@ -68,7 +68,7 @@ def mysql_query(spark: SparkSession, c: dict) -> DataFrame:
     for key in ("username", "password", "driver"):
         if key in c:
             reader = reader.option("user" if key == "username" else key, c[key])
-    return reader.load()
+    return embedded.load(reader.load()) if embedded.drivers_own(spark, url) else reader.load()
 
 
 def kafka_consumer(spark: SparkSession, c: dict) -> DataFrame:
