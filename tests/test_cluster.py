@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 ROOT, SF = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "/root/testdata/sf0.001"
-NAMES = ["jdbc_partitioned", "jdbc_round_trip"]
+NAMES = ["jdbc_partitioned", "jdbc_round_trip", "jdbc_upsert"]
 RUN = """
 import json, sys
 from pyspark.sql import SparkSession

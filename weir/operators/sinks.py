@@ -56,8 +56,8 @@ def mysql_write(spark: SparkSession, c: dict, df: DataFrame):
         _save(df, options, target, "append")
         return
     staging = f"{target}_{uuid.uuid4().hex[:12]}"
-    df.write.format("jdbc").options(**options, dbtable=staging).mode("overwrite").save()
-    _statements(spark, options, [merge_statement(url, target, staging, df.columns, c["keys"]), f"DROP TABLE {staging}"])
+    _save(df, options, staging, "overwrite")
+    execute(spark, options, [merge_statement(url, target, staging, df.columns, c["keys"]), f"DROP TABLE {staging}"])
 
 
 def _save(df: DataFrame, options: dict, table: str, mode: str) -> None:
@@ -80,7 +80,7 @@ def merge_statement(url: str, target: str, staging: str, columns: list[str], key
     return f"MERGE INTO {target} t USING {staging} s ON {on}{update} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join(f's.{x}' for x in columns)})"
 
 
-def _statements(spark: SparkSession, options: dict, statements: list[str]) -> None:
+def execute(spark: SparkSession, options: dict, statements: list[str]) -> None:
     """Run statements on one connection of the driver's."""
     jvm = spark._jvm
     settings = jvm.java.util.Properties()
