@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +26,14 @@ def register(spark: SparkSession) -> None:
     for name, arguments, result, expression in SCALARS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {expression}")
 
-    @F.pandas_udf("double")
-    def geometric_mean(v: pd.Series) -> float:
+    @F.arrow_udf("double")
+    def geometric_mean(v: pa.Array) -> float:
+        """0 if a value is 0, NaN if one is negative, null without values."""
         import numpy as np
 
-        v = v.dropna()
-        return float(np.exp(np.log(v).mean())) if len(v) and (v > 0).all() else float("nan")
+        v = v.drop_null().to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return float(np.exp(np.log(v).mean())) if len(v) else None
 
     spark.udf.register("geometric_mean", geometric_mean)
     spark.udtf.register("split_words", F.udtf(SplitWords, returnType="pos int, word string"))
