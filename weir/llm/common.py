@@ -116,6 +116,13 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(key, was)
 
 
+def slices(batches, rows: int = 256):
+    """Batches of at most so many rows, so that few texts at a time become Python objects."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def to_signed(values) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 

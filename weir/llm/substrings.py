@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import WordHashes, cut, docs_view, drop, mix, read, release_shuffles
+from .common import WordHashes, batches_of, cut, docs_view, drop, mix, read, release_shuffles, slices
 
 #: Perfect difference sets: every remainder is a difference of two members.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27)}
@@ -77,7 +77,7 @@ def anchors(window: int, period: int, with_place: bool):
 
     def run(batches):
         words, powers = WordHashes(), Powers()
-        for b in batches:
+        for b in slices(batches):
             hashes, keys, ids, places = [], [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 parts = t.split() if t else []
@@ -107,7 +107,7 @@ def windows_near(window: int, period: int):
 
     def run(batches):
         words, powers, reach = WordHashes(), Powers(), period - 1
-        for b in batches:
+        for b in slices(batches):
             for i, t, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "places"))):
                 parts = t.split() if t else []
                 n = len(parts) - window + 1
@@ -131,13 +131,15 @@ def windows_near(window: int, period: int):
 
 
 def profile(batches):
-    for b in batches:
-        texts = [t or b"" for t in b.column("text").to_pylist()]
-        parts = [t.split() for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([len(p) for p in parts], pa.int64()), pa.array([hashlib.sha256(b" ".join(p)).hexdigest() for p in parts])],
-            names=["doc_id", "text_key", "n_words", "sha256"],
-        )
+    for b in slices(batches):
+        keys, counts, digests = [], [], []
+        for t in b.column("text"):
+            t = t.as_py() or b""
+            parts = t.split()
+            keys.append(xxhash.xxh3_128_digest(t))
+            counts.append(len(parts))
+            digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "text_key", "n_words", "sha256"])
 
 
 def cut_words(text: bytes | None, starts, window: int) -> tuple[list[bytes], int]:
@@ -193,9 +195,13 @@ def removed_counts(found: Repeats) -> DataFrame:
     window = found.window
 
     def each(batches):
-        for b in batches:
-            out = [cut_words(t, s, window) for t, s in zip(b.column("text").to_pylist(), b.column("starts").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n in out], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k, _ in out])], names=["doc_id", "gone", "kept"])
+        for b in slices(batches):
+            gone, kept = [], []
+            for t, s in zip(b.column("text"), b.column("starts")):
+                left, n = cut_words(t.as_py(), s.as_py(), window)
+                gone.append(n)
+                kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "gone", "kept"])
 
     part = found.touched.dropDuplicates(["doc_id"]).mapInArrow(each, "doc_id long, gone long, kept string")
     none = hashlib.sha256(b"").hexdigest()
