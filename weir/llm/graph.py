@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop
 
+#: So many edges at most are joined up by one task (4 MB); more by rounds of joins. The outcome is the same.
+SMALL = 1 << 18
+
+
+def labels_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        low = label.copy()
+        np.minimum.at(low, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (low[low] != low).any():
+            low = low[low]
+        label = low
+    return nodes, nodes[label]
+
+
+def _at_once(batches):
+    ends = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if ends:
+        node, component = labels_of(*map(np.concatenate, zip(*ends)))
+        for k in range(0, len(node), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(node[k : k + (1 << 16)]), pa.array(component[k : k + (1 << 16)])], names=["node", "component"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of the undirected edges (a, b); a component is named by its smallest node.
 
-    Each round takes the smallest label among a node, its neighbours and its
+    Few edges are joined up by one task. Beyond ``SMALL``, each round takes the smallest label among a node, its neighbours and its
     label's own label, and writes the labels to the shared folder. Chains
     shorten by pointer jumping; no edge reaches the driver.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if edges.count() <= SMALL:
+        labels = cut(edges.coalesce(1).mapInArrow(_at_once, "node long, component long"), "labels")
+        drop(edges)
+        return labels
+    both = edges.union(edges.select("b", "a"))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
@@ -30,5 +62,5 @@ def components(edges: DataFrame) -> DataFrame:
         drop(labels)
         labels = new
         if done:
-            drop(both)
+            drop(edges)
             return labels.select("node", "component")
