@@ -44,6 +44,28 @@ def test_html_runs_match_the_suffix_array(spark):
     want = {k: int(c.sum()) for k, c in enumerate(html_text.repeated_tokens(tokens, 5))}
     assert {r.page_id: r.n_repeated for r in html_text.main_text(pages, run=5, chunk_chars=200).collect()} == want
 
+
+def test_html_sends_little(spark, monkeypatch):
+    """Texts go through no exchange, runs of one chunk aren't sent whole, and counts don't depend on how few bits are sent first."""
+    rng = random.Random(7)
+    shared = words(rng, 12)
+    pages = pages_of(spark, [(k, f"<article>{words(rng, 30)}<p>{shared if k % 50 == 0 else words(rng, 12)}</p></article>") for k in range(300)])
+    want = {k: 12 if k % 50 == 0 else 0 for k in range(300)}
+    sent = []
+    keep = html_text.cut
+    monkeypatch.setattr(html_text, "cut", lambda df, name, *more: sent.append((name, keep(df, name, *more))) or sent[-1][1])
+    monkeypatch.setattr(html_text, "drop", lambda *tables: None)
+    for spare in (4, -6):
+        sent.clear()
+        monkeypatch.setattr(html_text, "SPARE_BITS", spare)
+        got = html_text.main_text(pages, chunk_chars=3000)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Bucketed: true" in plan
+        assert {r.page_id: r.n_repeated for r in got.collect()} == want
+        whole = sum(len(r.totals) for name, t in sent if name == "html-totals" for r in t.collect())
+        assert whole < 2500 if spare == 4 else whole > 5000  # of 10,000 runs
+
+
 def test_html_mirrors_and_quotations(spark):
     """Without an article element, text that few pages share is no boilerplate; what many share, at a block's edge, is."""
     rng = random.Random(6)

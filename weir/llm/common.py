@@ -72,6 +72,20 @@ def cut(df: DataFrame, name: str, codec: str = "snappy", stays: bool = False) ->
     return out
 
 
+def cut_buckets(df: DataFrame, name: str, key: str, buckets: int, codec: str = "zstd") -> DataFrame:
+    """As ``cut``, in buckets of a column: a join on it reads the rows where they lie and exchanges only the other side."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"weir_{uuid.uuid4().hex}"
+    df.write.option("compression", codec).option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    out._weir_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that no later plan reads."""
     for t in tables:

@@ -9,9 +9,13 @@ The pages of a host are taken together, whatever its size. A run of ``RUN``
 tokens is repeated if it stands on distinct pages; ``repeated_tokens`` finds
 such runs of pages at hand in a suffix array sorted to that depth. Over a
 whole host the same groups of equal runs are counted by 64-bit hash: pages are
-packed into chunks, each sends the sorted hashes of its distinct runs by range
-of hashes, and gets back on how many pages each stands. The chunks change no
-result, and a run that all pages share is one entry a chunk.
+packed into chunks. Each first sends the upper bits of the sorted hashes of its
+distinct runs, by range of hashes, and gets back which of them other chunks
+have too. Those runs alone it then sends with their whole hash, and gets back
+on how many pages each stands; the others stand on pages of this chunk only.
+Neither the chunks nor the number of upper bits change a result, and a run that
+all pages share is one entry a chunk. The chunks lie in buckets, so their texts
+go through no exchange.
 
 Pages of equal tokens count as one there, so a mirror makes nothing repeated.
 An undecided block loses the tokens of runs that stand on many pages of the
@@ -38,12 +42,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, list_column, mix, read, release_shuffles, to_signed
+from .common import WordHashes, cut, cut_buckets, drop, list_column, mix, read, release_shuffles, to_signed
 
 #: Tokens of a repeated run, and distinct pages of a host (at most) that make it boilerplate.
 RUN, BOILER_PAGES = 8, 10
 #: Characters of a chunk, and runs of a range of hashes; neither changes results.
 CHUNK_CHARS, RANGE_RUNS = 8 << 20, 1 << 20
+#: Upper bits sent first, beyond those that number all runs: about one run in 16 is then sent whole for nothing.
+SPARE_BITS = 4
+#: Of compression: a fifth less than level 1 gives.
+LEVEL = 5
 PACKED = "chunk long, ids array<long>, urls array<string>, hosts array<long>, keys array<long>, pages binary, n_tokens long"
 OUT = "page_id long, url string, text string, n_chars long, n_repeated long"
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>|<[!?][^<>]*>", re.S)
@@ -236,7 +244,7 @@ def unique_part(tokens: list[str], covered: np.ndarray) -> str:
 def squeeze(pages: list[str]) -> bytes:
     """The packed pages of a chunk, compressed, with their length in front; texts hold no form feeds."""
     raw = "\f".join(pages).encode("utf-8", "surrogatepass")
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def unsqueeze(raw: bytes) -> list[str]:
@@ -248,20 +256,26 @@ def split_page(page: str) -> list[tuple[int, str]]:
     return [(int(line[0]), line[1:]) for line in page.split("\n")] if page else []
 
 
+def run_hashes(pages: list[list[str]], hosts: list[int], words: WordHashes, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's runs: hashes, places in the stream of all tokens, and pages; and where each page ends."""
+    length = np.array([len(p) for p in pages], dtype=np.int64)
+    end = np.cumsum(length)
+    stream = words.of([t.encode("utf-8", "surrogatepass") for p in pages for t in p])
+    page = np.repeat(np.arange(len(pages)), length)
+    starts = np.flatnonzero(np.arange(len(stream)) + run <= end[page]) if len(stream) else np.zeros(0, dtype=np.int64)
+    page = page[starts]
+    h, mixed = np.zeros(len(starts), dtype=np.uint64), mix(stream)
+    for k in range(run):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + mixed[starts + k]
+    return mix(h ^ np.array(hosts, dtype=np.int64).view(np.uint64)[page]), starts, page, end
+
+
 class Runs:
     """The runs of a chunk's pages. starts: places in the stream of all tokens; page: of each start; names: sorted distinct hashes; at: the name of each start."""
 
     def __init__(self, pages: list[list[str]], hosts: list[int], words: WordHashes, run: int):
-        length = np.array([len(p) for p in pages], dtype=np.int64)
-        self.end = np.cumsum(length)
-        stream = words.of([t.encode("utf-8", "surrogatepass") for p in pages for t in p])
-        page = np.repeat(np.arange(len(pages)), length)
-        self.starts = np.flatnonzero(np.arange(len(stream)) + run <= self.end[page]) if len(stream) else np.zeros(0, dtype=np.int64)
-        self.page, self.n, self.run = page[self.starts], len(stream), run
-        h = np.zeros(len(self.starts), dtype=np.uint64)
-        for k in range(run):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + mix(stream[self.starts + k])
-        h = mix(h ^ np.array(hosts, dtype=np.int64).view(np.uint64)[self.page])
+        h, self.starts, self.page, self.end = run_hashes(pages, hosts, words, run)
+        self.n, self.run = int(self.end[-1]) if len(self.end) else 0, run
         self.order = np.lexsort((self.page, h))
         s = h[self.order]
         self.fresh = np.append(True, s[1:] != s[:-1])[: len(s)]
@@ -277,6 +291,12 @@ class Runs:
             new &= ~np.isin(p, list(copies))
         return np.bincount(np.cumsum(self.fresh) - 1, weights=new, minlength=len(self.names)).astype(np.int64)
 
+    def met(self, seen: list[tuple[int, int, bytes]], width: int) -> np.ndarray:
+        """For each name, whether another chunk has its upper bits, by what ``meet`` gave back as (range, number, bits)."""
+        upper = self.names >> np.uint64(64 - width)
+        which = np.cumsum(np.append(False, upper[1:] != upper[:-1])[: len(upper)])
+        return np.concatenate([np.zeros(0, dtype=bool), *(from_bits(x, n) for _, n, x in sorted(seen))])[which]
+
     def covered(self, hit: np.ndarray) -> list[np.ndarray]:
         """For each page's tokens, whether they lie in a run that is ``hit`` (by start)."""
         starts = self.starts[hit]
@@ -284,9 +304,9 @@ class Runs:
         return np.split(np.cumsum(edge)[: self.n] > 0, self.end[:-1])
 
 
-def range_bounds(names: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of the 2 ** bits ranges begins in sorted hashes, and the end."""
-    return np.append(np.searchsorted(names, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(names))
+def range_bounds(names: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
+    """Where each of the 2 ** bits ranges begins in sorted hashes of so many bits, and the end."""
+    return np.append(np.searchsorted(names, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)), len(names))
 
 
 def planes(names: np.ndarray) -> bytes:
@@ -299,6 +319,22 @@ def from_planes(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def to_bits(mask: np.ndarray) -> bytes:
+    return pa.compress(np.packbits(mask).tobytes(), codec="zstd", asbytes=True)
+
+
+def from_bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(pa.decompress(raw, (n + 7) // 8, codec="zstd", asbytes=True), dtype=np.uint8), count=n).view(bool)
+
+
+def meet(group: pa.Table) -> pa.Table:
+    """For each chunk's upper bits of one range of hashes, whether another chunk has them."""
+    n = group.column("n").to_pylist()
+    _, at, times = np.unique(np.concatenate([from_planes(x, k) for x, k in zip(group.column("upper").to_pylist(), n)]), return_inverse=True, return_counts=True)
+    parts = np.split((times > 1)[at], np.cumsum(n)[:-1])
+    return pa.table({"chunk": group.column("chunk"), "range": group.column("range"), "n": group.column("n"), "bits": pa.array([to_bits(p) for p in parts], pa.binary())})
+
+
 def add_up(group: pa.Table) -> pa.Table:
     """Counts over all chunks for each chunk's runs of one range of hashes."""
     counts = group.column("counts").to_pylist()
@@ -343,40 +379,63 @@ def pack(pages: DataFrame, chunk_chars: int) -> DataFrame:
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    return cut(rows.mapInArrow(run, PACKED), "html-chunks", "zstd")
+    buckets = min(100_000, max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * pages.rdd.getNumPartitions()))
+    return cut_buckets(rows.mapInArrow(run, PACKED), "html-chunks", "chunk", buckets)
 
 
 def main_text(pages: DataFrame, run: int = RUN, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Per page: url, main text and its length in code points."""
     spark = pages.sparkSession
     chunks = pack(pages, chunk_chars)
-    bits = max(4, (int(chunks.agg(F.sum("n_tokens")).first()[0] or 0) // RANGE_RUNS).bit_length())
+    n_tokens = int(chunks.agg(F.sum("n_tokens")).first()[0] or 0)
+    bits = max(4, (n_tokens // RANGE_RUNS).bit_length())
+    width = min(64, n_tokens.bit_length() + SPARE_BITS)
 
     def tokens_of(page):
         return [b.split() for _, b in split_page(page)]
 
+    def announce(batches):
+        words = WordHashes()
+        for b in batches:
+            for chunk, hosts, texts in zip(*(b.column(c).to_pylist() for c in ("chunk", "hosts", "pages"))):
+                words.trim()
+                h = run_hashes([[t for part in tokens_of(p) for t in part] for p in unsqueeze(texts)], hosts, words, run)[0]
+                h >>= np.uint64(64 - width)
+                h.sort()
+                upper = h[np.append(True, h[1:] != h[:-1])[: len(h)]]
+                bound = range_bounds(upper, bits, width)
+                full = np.flatnonzero(np.diff(bound))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(np.diff(bound)[full], pa.int32()), pa.array([planes(upper[bound[k] : bound[k + 1]]) for k in full], pa.binary())], names=["chunk", "range", "n", "upper"])
+
+    def own(runs, same, seen):
+        """For each name, its pages in this chunk, and whether other chunks may hold it."""
+        counts = np.minimum(runs.counts({x["pos"] for x in same or () if x["extra"]}), 255).astype(np.uint8)
+        return counts, runs.met([(x["range"], x["n"], x["bits"]) for x in seen or ()], width)
+
     def send(batches):
         words = WordHashes()
         for b in batches:
-            for chunk, hosts, texts, same in zip(*(b.column(c).to_pylist() for c in ("chunk", "hosts", "pages", "same"))):
+            for chunk, hosts, texts, same, seen in zip(*(b.column(c).to_pylist() for c in ("chunk", "hosts", "pages", "same", "seen"))):
                 words.trim()
-                texts = unsqueeze(texts)
-                runs = Runs([[t for part in tokens_of(p) for t in part] for p in texts], hosts, words, run)
-                counts = np.minimum(runs.counts({x["pos"] for x in same or () if x["extra"]}), 255).astype(np.uint8)
-                bound = range_bounds(runs.names, bits)
+                runs = Runs([[t for part in tokens_of(p) for t in part] for p in unsqueeze(texts)], hosts, words, run)
+                counts, met = own(runs, same, seen)
+                names, counts = runs.names[met], counts[met]
+                bound = range_bounds(names, bits)
                 full = np.flatnonzero(np.diff(bound))
-                cells = [(runs.names[bound[k] : bound[k + 1]], counts[bound[k] : bound[k + 1]]) for k in full]
+                cells = [(names[bound[k] : bound[k + 1]], counts[bound[k] : bound[k + 1]]) for k in full]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([planes(x) for x, _ in cells], pa.binary()), pa.array([c.tobytes() for _, c in cells], pa.binary())], names=["chunk", "range", "names", "counts"])
 
     def extract(batches):
         words = WordHashes()
         for b in batches:
-            for ids, urls, hosts, texts, same, sizes, totals in zip(*(b.column(c).to_pylist() for c in ("ids", "urls", "hosts", "pages", "same", "sizes", "totals"))):
+            for ids, urls, hosts, texts, same, seen, sizes, totals in zip(*(b.column(c).to_pylist() for c in ("ids", "urls", "hosts", "pages", "same", "seen", "sizes", "totals"))):
                 words.trim()
                 cut = [split_page(p) for p in unsqueeze(texts)]
                 tokens = [[t.split() for _, t in page] for page in cut]
                 runs = Runs([[t for part in page for t in part] for page in tokens], hosts, words, run)
-                total = np.frombuffer(b"".join(x["totals"] for x in sorted(totals or (), key=lambda x: x["range"])), dtype=np.uint8)[runs.at]
+                total, met = own(runs, same, seen)
+                total[met] = np.frombuffer(b"".join(x["totals"] for x in sorted(totals or (), key=lambda x: x["range"])), dtype=np.uint8)
+                total = total[runs.at]
                 need = {x["host"]: needed(x["n"]) for x in sizes}
                 mirrored = np.zeros(len(ids), dtype=bool)
                 mirrored[[x["pos"] for x in same or ()]] = True
@@ -404,13 +463,19 @@ def main_text(pages: DataFrame, run: int = RUN, chunk_chars: int = CHUNK_CHARS)
     groups = cut(streams.filter("n > 1").select("host", "key", "first"), "html-copies")
     same = cut(keys.join(groups, ["host", "key"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", (here != F.col("first")).alias("extra"))).alias("same")), "html-same")
     sizes = keys.select("chunk", "host").distinct().join(streams.groupBy("host").agg(F.count("*").alias("n")), "host").groupBy("chunk").agg(F.collect_list(F.struct("host", "n")).alias("sizes"))
-    sent = chunks.select("chunk", "hosts", "pages").join(same, "chunk", "left").mapInArrow(send, "chunk long, range int, names binary, counts binary")
+    told = chunks.select("chunk", "hosts", "pages").mapInArrow(announce, "chunk long, range int, n int, upper binary")
+    seen = cut(told.groupBy("range").applyInArrow(meet, "chunk long, range int, n int, bits binary"), "html-seen", "zstd")
+    release_shuffles(spark)
+    seen_by = cut(seen.groupBy("chunk").agg(F.collect_list(F.struct("range", "n", "bits")).alias("seen")).join(same, "chunk", "full"), "html-seen-by", "zstd")
+    drop(seen)
+    sent = chunks.select("chunk", "hosts", "pages").join(seen_by.hint("shuffle_hash"), "chunk", "left").mapInArrow(send, "chunk long, range int, names binary, counts binary")
     totals = cut(sent.groupBy("range").applyInArrow(add_up, "chunk long, range int, totals binary"), "html-totals", "zstd")
     release_shuffles(spark)
     side = totals.groupBy("chunk").agg(F.collect_list(F.struct("range", "totals")).alias("totals"))
-    side = cut(sizes.join(side, "chunk", "left").join(same, "chunk", "left"), "html-side", "zstd")
+    side = cut(sizes.join(side, "chunk", "left").join(seen_by, "chunk", "left"), "html-side", "zstd")
+    drop(streams, groups, same, seen_by, totals)
     release_shuffles(spark)
-    return chunks.drop("keys", "n_tokens").join(side, "chunk").mapInArrow(extract, OUT)
+    return chunks.drop("keys", "n_tokens").join(side.hint("shuffle_hash"), "chunk").mapInArrow(extract, OUT)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
