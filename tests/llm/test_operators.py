@@ -272,6 +272,19 @@ def test_encoder_cuts_where_the_library_does():
     assert encode(texts) == encode.whole(texts)
 
 
+def test_encoder_looks_up_only_what_it_needs():
+    class Remembered(dict):
+        def __iter__(self):
+            raise AssertionError("goes through all that is remembered")
+
+    encode = token_output.Encoder(P.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{k}x{j}" for j in range(5)) for k in range(60)] + ["", "w0x1 <|endoftext|>."]
+    want = encode(texts)
+    assert want == encode.whole(texts)
+    encode.known, encode.older = {}, Remembered(encode.known)
+    assert encode(texts[:3] + texts[-1:] + ["neu"]) == want[:3] + want[-1:] + encode.whole(["neu"])
+
+
 def test_length_limited_code():
     counts = np.array([2**k for k in range(30)])
     bits = token_output.code_lengths(counts, 12)

@@ -37,8 +37,8 @@ FILE = "part int, first long, doc_ids array<long>, counts array<int>, checkpoint
 OUT = "part int, doc_id long, first long, n_tokens long, ids_crc32 long"
 #: Text parts in one of the two generations that a worker remembers.
 PARTS = 500_000
-#: Documents encoded at a time.
-SLICE = 256
+#: Documents a quarter of a written batch holds at most, and characters encoded at a time.
+SLICE, SLICE_CHARS = 256, 4 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -99,7 +99,9 @@ class Encoder:
 
     def learn(self, parts: list[str]) -> None:
         text = {p: p[1:] if p[0] in "\0\n" else " " + p for p in parts}
-        odd = [p for p in parts if any(a in p for a in self.added)]
+        every = "\n".join(parts)
+        added = [a for a in self.added if a in every]
+        odd = [p for p in parts if any(a in p for a in added)] if added else []
         for p, ids in zip(odd, self.whole([text.pop(p) for p in odd])):
             self.known[p] = self.line + ids if p[0] == "\n" else ids
         parts = list(text)
@@ -117,14 +119,17 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
-        for k in range(0, len(texts), SLICE):
-            some = texts[k : k + SLICE]
+        while len(out) < len(texts):
+            end, size = len(out), 0
+            while end < len(texts) and (not size or size + len(texts[end]) <= SLICE_CHARS):
+                size, end = size + len(texts[end]), end + 1
+            some = texts[len(out) : end]
             parts = [parts_of(t) if self.exact and plain(t) else None for t in some]
             used = set().union(*(p for p in parts if p))
             if len(self.known) > PARTS:
                 self.known, self.older = {}, self.known
             fresh = used.difference(self.known)
-            back = fresh.intersection(self.older)
+            back = self.older.keys() & fresh  # goes through fresh; set.intersection would go through all that is remembered
             self.known.update(zip(back, map(self.older.__getitem__, back)))
             self.learn(list(fresh.difference(back)))
             rest = iter(self.whole([t for t, p in zip(some, parts) if p is None]))
