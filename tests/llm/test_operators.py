@@ -1,6 +1,7 @@
 """Every operator against brute force or the library, on odd rows: nulls, empty and long texts, ties, repeats, clashing columns, empty tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -113,6 +114,26 @@ def test_token_counts(docs, none, tmp_path):
     assert not token_counts.drops_white_space(P.path("byte_bpe_50k.json"))
 
 
+def test_token_count_cache_is_kept_for_each_input(spark, tmp_path):
+    one, two = (str(tmp_path / x) for x in ("one", "two"))
+
+    def write(at, *texts):
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.mode("append").parquet(f"{at}/documents.parquet")
+
+    def run(at):
+        """What the run appends to the cache, and its token counts."""
+        kept = lambda: spark.read.schema(token_counts.CACHE).parquet(token_counts.cache_of(spark, at))
+        before = kept().count() if os.path.exists(token_counts.cache_of(spark, at).removeprefix("file://")) else 0
+        counts = [n for _, _, n, _ in rows(token_counts.op2_token_counts(spark, at))]
+        return kept().count() - before, counts
+
+    for at in (one, two):
+        write(at, "one text", "another text here", None, "one  text")
+        assert run(at) == (3, [2, 3, 0, 2]), "an input's run counts all its texts, whatever was run on others"
+    write(one, "a text no other row has")
+    assert run(one + "/") == (1, [6, 2, 3, 0, 2]), "a second run counts new texts only"
+
+
 def test_sharding(spark, docs, none):
     many = docs.unionByName(spark.createDataFrame([(100 + k, f"t{k % 9}" if k % 3 else "hot", "s", 0, "u") for k in range(200)] + [(1000 + k, f"alone {k}", "s", 0, "u") for k in range(400)], SCHEMA))
     out = sharding.shard_documents(many, 5).collect()

@@ -1,7 +1,9 @@
 """Token counts through a digest cache (op 2).
 
 The cache is a table (digest, version, n_tokens) in the shared folder; it
-stays there for later runs, which encode only texts that are new to it. A text
+stays there for later runs, which encode only texts that are new to it. The
+query keeps one for each input folder, so the work of a run does not depend on
+what was run on other inputs before. A text
 is keyed by a digest of its normalised content and the tokenizer by a digest
 of its file. Texts whose key the cache lacks are reduced to one row a digest
 before the exchange, encoded once, and appended; the counts then come from the
@@ -109,10 +111,15 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     return keyed.select("doc_id", "n_bytes", "digest").join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def cache_of(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of an input's own cache."""
+    return f"{shared_dir(spark)}/weir-cache/token-counts-{hashlib.sha256(sf_dir.rstrip('/').encode()).hexdigest()[:32]}"
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache_of(spark, sf_dir))
 
 
 QUERIES = {"op2_token_counts": op2_token_counts}
