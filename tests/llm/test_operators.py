@@ -365,3 +365,24 @@ def test_piece_cuts():
         for p in parts:
             found = {(s, k) for s in range(len(p)) for k in range(2, len(p) - s + 1) if p[s : s + k] in pieces.names}
             assert len(p) > piece_lattice.LONG or found == {(x >> 6, x & 63) for x in pieces.spans(p) if x != 1}
+
+
+def test_piece_bytes_and_spans(spark):
+    """Texts are compressed before they are exchanged, whole; spans and ids of many chunks at once are those of each."""
+    import pyarrow as pa
+    import sentencepiece
+
+    model = P.path("piece_bpe_32k.model")
+    sp, pieces = sentencepiece.SentencePieceProcessor(model_file=model), piece_lattice.load(model)
+    texts = [None, "", "é 語 🙂 " * 400, BASE]
+    out = next(piece_lattice.squeezed([pa.RecordBatch.from_pydict({"doc_id": [1, None, 2, 3], "key": [1, 2, 3, 4], "text": pa.array(texts, pa.string())})]))
+    assert [piece_lattice.codec().decompress(t.as_py(), n.as_py()).to_pybytes().decode() for t, n in zip(out["text"], out["n"])] == [t or "" for t in texts]
+    assert sum(map(len, out["text"].to_pylist())) < sum(len((t or "").encode()) for t in texts) / 2
+    chunks = sorted({c for t in texts for c in pieces.chunks(t)})
+    at, spans = pieces.all_spans(chunks)
+    for c, a, b in zip(chunks, at.tolist(), at[1:].tolist()):
+        assert {(x >> 6, x & 63) for x in spans[a:b].tolist() if x != 1} == {(s, k) for s in range(len(c)) for k in range(2, len(c) - s + 1) if c[s : s + k] in pieces.names}
+    for t in texts[2:]:
+        ids = np.array(sp.encode(t))
+        assert piece_lattice.decoded(ids, pieces).decode() == t == sp.decode(ids.tolist())
+    assert pieces.units("▁eton" + "ètre") == ["▁etonètre"] and pieces.units("é" * 49) == pieces.parts("é" * 49)
