@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words a worker keeps hashed before it starts its table anew.
-WORD_CACHE = 1_000_000
+#: Words a worker remembers before it starts its table anew, and bytes of the longest that it remembers: some 40 MB. Executors may hold several workers at once.
+WORD_CACHE, LONG_WORD = 1 << 18, 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -142,10 +142,12 @@ def to_signed(values) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word bytes to a 64-bit hash; call ``trim`` between documents to bound it."""
+    """Word bytes to a 64-bit hash; call ``trim`` between documents to bound it. Long words are not remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches_of, cut, docs_view, drop, list_column, mix, read, release_shuffles
+from .common import WordHashes, batches_of, cut, docs_view, drop, list_column, mix, read, release_shuffles, slices
 from .graph import components
 
 #: Coordinates of a sketch, bands, members of a list that are compared with each other (twice as many in each later round, so rounds end).
@@ -96,7 +96,7 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 def sketches(size: int):
     def run(batches):
         words, none = WordHashes(), np.empty(0, dtype=np.int64)
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), list_column([band_keys(s).view(np.int64) if len(s) else none for s in sets], pa.int64())],
@@ -120,7 +120,7 @@ def full_sets(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         words = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "n", "elems"])
 
@@ -168,7 +168,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elems").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("elems").alias("t")), "b")
-    return cut(both.mapInArrow(run, "a long, b long"), "near-links")
+    with batches_of(sets.sparkSession, 500):
+        return cut(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
 def least_common(n, m, percent: int):
@@ -282,7 +283,8 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, the component's key (null without one) and component_id."""
     spark = docs.sparkSession
     texts = docs_view(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    rows = cut(texts.mapInArrow(sketches(size), SKETCH), "near-rows")
+    with batches_of(spark, 1_000):
+        rows = cut(texts.mapInArrow(sketches(size), SKETCH), "near-rows")
     classes = rows.filter("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("bands").alias("bands"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("key"), "set_key", "one.doc_id", "one.text_key", "bands"), "near-classes")
     members = classes.select(F.col("key").alias("x"), F.explode("bands").alias("band"))

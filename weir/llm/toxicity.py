@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import WORD_CACHE, cut, docs_view, drop, list_column, read
+from .common import LONG_WORD, WORD_CACHE, cut, docs_view, drop, list_column, read
 
 SENTENCE = re.compile(rb"[.!?\n]+")
 #: Bytes of ASCII letters and of non-ASCII characters; all others separate words.
@@ -64,7 +64,9 @@ class Model:
     def weight(self, word: bytes) -> float:
         if len(self.words) > WORD_CACHE:
             self.words.clear()
-        w = self.words[word] = self.weights.get(feature(word), 0.0)
+        w = self.weights.get(feature(word), 0.0)
+        if len(word) <= LONG_WORD:
+            self.words[word] = w
         return w
 
     def logits(self, text: bytes | None) -> np.ndarray:
