@@ -386,3 +386,29 @@ def test_piece_bytes_and_spans(spark):
         ids = np.array(sp.encode(t))
         assert piece_lattice.decoded(ids, pieces).decode() == t == sp.decode(ids.tolist())
     assert pieces.units("▁eton" + "ètre") == ["▁etonètre"] and pieces.units("é" * 49) == pieces.parts("é" * 49)
+
+
+def test_encoder_cuts_near_characters_as_the_library_does():
+    """Every character below U+0250 alone, beside letters, digits, signs and itself; and at random."""
+    rng = random.Random(11)
+    encode = token_output.Encoder(P.path("byte_bpe_50k.json"))
+    near = [chr(c) for c in range(0x250) if chr(c).isprintable() and chr(c) != " "]
+    texts = [f"{c} {c}{c} a{c} {c}a 3{c} {c}3 .{c} {c}. '{c}\n{c}s\né{c} {c}x" for c in near]
+    pick = near + list("'sstremvld.,é3") * 20 + ["’", "ɐ", "日", "Ж", "٣"]
+    texts += ["".join(rng.choice(pick) for _ in range(rng.randint(1, 12))) + rng.choice(["", " x", "\ny", " <|endoftext|>b"]) for _ in range(5000)]
+    assert all(map(token_output.plain, texts)) and encode(texts) == encode.whole(texts)
+
+
+def test_encoder_sends_only_far_characters_through_the_pre_tokenizer():
+    encode = token_output.Encoder(P.path("byte_bpe_50k.json"))
+    texts = ["Plain words, don't stop. Größe\nÉtat 32", "far ’quoted’ 日本 here"]
+    want, sent, tok = encode.whole(texts), [], encode.tok
+
+    class Heard:
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return tok.encode_batch_fast(texts, **more)
+
+    encode.tok = Heard()
+    assert encode(texts) == want
+    assert sorted("".join(sent).split()) == ["’quoted’", "日本"]

@@ -22,6 +22,7 @@ one block.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -39,6 +40,12 @@ OUT = "part int, doc_id long, first long, n_tokens long, ids_crc32 long"
 PARTS = 500_000
 #: Documents a quarter of a written batch holds at most, and characters encoded at a time.
 SLICE, SLICE_CHARS = 256, 4 << 20
+#: The byte-level pattern on what a plain text holds below U+0250, where letters and digits have long been settled; and the characters that stand for bytes.
+NEAR = "\u0250"
+LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^ {LETTER}{DIGIT}]+").findall
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -66,9 +73,11 @@ class Encoder:
     The byte-level pre-tokenizer never joins what is no white space with white
     space after it, and takes a single line break alone, so texts are cut
     before single spaces and around line breaks, and the parts' ids
-    remembered. Parts not yet known go to the library together, with a line
-    break after each. That holds for its pattern alone, so ``exact`` tells
-    whether the file has it.
+    remembered. Of parts not yet known, those without characters from U+0250 on
+    are cut by the pre-tokenizer's pattern here, and the library's model gives
+    the pieces' ids; the others go to the library together, with a line break
+    after each. That holds for its pattern alone, so ``exact`` tells whether
+    the file has it.
     """
 
     def __init__(self, path: str):
@@ -91,6 +100,7 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         known = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.exact = bool(known) and len(line) == 1 and not any(any(c.isspace() for c in a) for a in self.added)
+        self.model, self.raw = self.tok.model, [i.to_bytes(self.width, "little") for i in range(max(self.tok.get_vocab().values(), default=-1) + 1)]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -104,7 +114,20 @@ class Encoder:
         odd = [p for p in parts if any(a in p for a in added)] if added else []
         for p, ids in zip(odd, self.whole([text.pop(p) for p in odd])):
             self.known[p] = self.line + ids if p[0] == "\n" else ids
-        parts = list(text)
+        known, line, raw, model = self.known, self.line, self.raw, self.model.tokenize
+        parts = []
+        for p, t in text.items():
+            if t.isascii():
+                pieces = PIECES(t)
+                if t[:1] == " ":
+                    pieces[0] = "Ġ" + pieces[0][1:]
+            elif max(t) < NEAR:
+                pieces = [x.encode().decode("latin-1").translate(BYTES) for x in PIECES(t)]
+            else:
+                parts.append(p)
+                continue
+            ids = b"".join([raw[i.id] for x in pieces for i in model(x)])
+            known[p] = line + ids if p[0] == "\n" else ids
         for k in range(0, len(parts), 5_000):
             some = parts[k : k + 5_000]
             (joined,) = self.tok.encode_batch_fast(["\n".join(map(text.__getitem__, some)) + "\n"], add_special_tokens=False)
